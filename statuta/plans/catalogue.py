@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from statuta.plans import general
+from statuta.plans import corpus, general, retrieval
 
-_MODULES = (general,)
+_MODULES = (general, retrieval, corpus)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,22 +28,40 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str)
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers of this application import the package, wherever they run; does nothing the second time."""
+    sc = spark.sparkContext
+    if getattr(sc, "_statuta_shipped", None) != sc.applicationId:
+        here = Path(__file__).resolve().parent
+        at = Path(tempfile.mkdtemp(prefix="statuta-ship-")) / "statuta.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for p in sorted(here.rglob("*.py")):
+                z.write(p, p.relative_to(here.parent))
+        sc.addPyFile(str(at))
+        sc._statuta_shipped = sc.applicationId
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder ``spark.checkpoint.dir`` of the session; a temporary one only where that is unset (tests, local runs)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="statuta-scratch-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` once to the shared checkpoint folder and read it back.
+    """Cut the lineage: write ``df`` once as a table in the shared scratch folder and read it back.
 
-    The folder is ``spark.checkpoint.dir`` of the session, which every executor must reach. Only
-    where that is unset (tests, local runs) a temporary folder is taken.
+    The table outlives the executors that wrote it, is compressed, and gives the planner true sizes.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="statuta-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{scratch(df.sparkSession)}/statuta-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_enough(df: DataFrame, most_rows: int) -> bool:

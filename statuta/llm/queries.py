@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from statuta.llm.bpe_automaton import encode_corpus
 from statuta.llm.leakage import leaks
 from statuta.llm.name_mapping import map_cases
-from statuta.llm.scan_repair import scan_noise
+from statuta.llm.scan_repair import paragraphs, scan_noise
 from statuta.llm.shared_spans import record_pairs, shared_share, shared_spans
 from statuta.llm.term_frequency import term_frequency
 from statuta.session import table
@@ -35,6 +35,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return noise.select("parsed_id", F.col("page").cast("long").alias("page_num"), F.col("line").cast("long").alias("line_no"), "noise").distinct()
 
 
+def p5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs(table(spark, folder, "parsed_docs"), "parsed_id", "title", "pages")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -53,5 +57,5 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(documents, "doc_id", "text", *shared_spans(documents, "doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_share": p8_share}
 SQL: dict[str, str] = {}

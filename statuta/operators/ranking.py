@@ -116,7 +116,7 @@ def cell_index(vectors: DataFrame, cells: int = 32, sample: int = 5_000, seed: i
     return vectors.where(F.col("vector").isNotNull()).select("id", "vector", cell("vector").alias("cell")), centres
 
 
-def nearest_by_cells(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 10, probe: int = 12) -> DataFrame:
+def nearest_by_cells(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 10, probe: int = 20) -> DataFrame:
     """As ``nearest``, looking only into the ``probe`` cells whose centres are closest to the query; recall depends on ``probe``."""
 
     @F.pandas_udf("array<int>")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from statuta.session import cut
+
 OPEN_END = "9999-12-31"
 #: Bits of a key's bucket number on each level of the tree: root, branches, leaves.
 LEVELS = (0, 6, 12)
@@ -71,5 +73,6 @@ def attribute_history(rows: DataFrame, key: str, at: str, values: list[str], new
     """
     told = rows.select(F.col(key).alias("__k"), F.col(at).alias("__s"), *[F.col(v) for v in values], *[F.col(n).alias(f"__n{i}") for i, n in enumerate(newest)])
     told = told.dropna(subset=["__k", "__s", *values])
-    state = latest_state(told, "__k", "__s", values, [f"__n{i}" for i in range(len(newest))])
+    # written once: every level of the tree reads it
+    state = cut(latest_state(told, "__k", "__s", values, [f"__n{i}" for i in range(len(newest))]))
     return versions(changed_leaves(state, values), values).withColumnRenamed("__key", key)

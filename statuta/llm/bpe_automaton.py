@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 WORDS = regex.compile(r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Arcs that a worker keeps compiled, and words whose ids it keeps; both only save time.
 ARCS, KEPT_WORDS = 1 << 21, 200_000
+#: Characters of texts that a worker holds as words at a time (a longer text is one portion), which bounds its memory.
+CHARS_AT_ONCE = 1 << 20
 #: Bytes of different words that are encoded in one go.
 BYTES_AT_ONCE = 1 << 22
 
@@ -232,9 +235,15 @@ def encode_corpus(rows: DataFrame, key: str, text: str, vocabulary: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(vocabulary)
         for batch in batches:
-            ids, sizes = a.encode([t or "" for t in batch.column(1).to_pylist()])
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [key, "ids"])
+            first, chars = 0, 0
+            for i, size in enumerate(pc.utf8_length(batch.column(1)).to_pylist()):
+                chars += size or 0
+                if chars >= CHARS_AT_ONCE or i + 1 == len(batch):
+                    part = batch.slice(first, i + 1 - first)
+                    ids, sizes = a.encode([t or "" for t in part.column(1).to_pylist()])
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [key, "ids"])
+                    first, chars = i + 1, 0
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")

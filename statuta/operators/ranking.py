@@ -14,6 +14,8 @@ from statuta.functions.text import tokens
 from statuta.session import small_enough
 
 K1, B, RRF_K = 1.5, 0.75, 60
+#: Tokens of queries that are sent to all tasks; with more, postings and queries meet in a shuffle.
+TERMS_AT_MOST = 500_000
 
 
 def equalities(**wanted: str | None) -> Column:
@@ -27,10 +29,19 @@ def top(scored: DataFrame, k: int, query: str = "qid", item: str = "id", score:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def each_token(rows: DataFrame, *keep: Column | str) -> DataFrame:
+    """``keep`` and ``token`` for each of the ``tokens``.
+
+    The outer explode keeps the planner from filtering on the tokens' number first, which would
+    take every text apart twice.
+    """
+    return rows.select(*keep, F.explode_outer("tokens").alias("token")).where("token is not null")
+
+
 def corpus_stats(corpus: DataFrame) -> DataFrame:
     """One row: ``n_docs``, ``total_len``, ``avg_len`` over the ``tokens`` of all documents."""
-    size = F.size("tokens")
-    return corpus.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total_len"), F.avg(size).alias("avg_len"))
+    sizes = corpus.select(F.size("tokens").alias("n"))
+    return sizes.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_len"), F.avg("n").alias("avg_len"))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int = 10, keep: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
@@ -40,13 +51,15 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 10, keep: Column | None
     tokens count. ``keep`` filters the documents that may come out, the statistics are those of all.
     Only tokens that a query has are counted, so the shuffle carries postings of those alone.
     """
-    asked = queries.select("qid", F.explode("tokens").alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
+    asked = each_token(queries, "qid").groupBy("qid", "token").agg(F.count("*").alias("times"))
     size = F.size("tokens").alias("dl")
-    postings = corpus.withColumn("__keep", keep if keep is not None else F.lit(True)).select("id", "__keep", size, F.explode("tokens").alias("token"))
+    postings = each_token(corpus.withColumn("__keep", keep if keep is not None else F.lit(True)), "id", "__keep", size)
     postings = postings.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "id", "dl", "__keep").agg(F.count("*").alias("tf"))
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
     stats = corpus_stats(corpus).select("n_docs", "avg_len")
     terms = asked.join(df, "token").join(F.broadcast(stats))  # one row
+    if small_enough(asked, TERMS_AT_MOST):  # no more rows than ``asked``
+        terms = F.broadcast(terms)
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_len")))
     scored = postings.where("__keep").join(terms, "token").groupBy("qid", "id").agg(F.round(F.sum(weight), 6).alias("score"))

@@ -14,7 +14,7 @@ from statuta.operators.splitting import split_documents
 from statuta.plans.general import _DATE, _NAME, _article
 from statuta.plans.retrieval import _ALIASES, _CHUNKS, TOK, _aliases, _chunks, _contained, _own_aliases, _OWN, _strip
 from statuta.operators.dictionary import contained, resolved
-from statuta.session import table
+from statuta.session import spread, table
 
 
 # --- splitting and metadata
@@ -36,7 +36,7 @@ def q_section_split(s: SparkSession, d: str) -> DataFrame:
 
 def q_recursive_chunks(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select(F.concat_ws("_", "source", "doc_id").alias("source"), "text", "doc_type")
-    return split_documents(docs)
+    return split_documents(spread(docs, "source"))
 
 
 def q_chunk_articles(s: SparkSession, d: str) -> DataFrame:
@@ -193,7 +193,7 @@ def q_relation_rules(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_regex_mining(s: SparkSession, d: str) -> DataFrame:
-    return pattern_counts(table(s, d, "chunks"), F.col("text"))
+    return pattern_counts(spread(table(s, d, "chunks").select("row_id", "text"), "row_id"), F.col("text"))
 
 
 def q_new_authorities(s: SparkSession, d: str) -> DataFrame:
@@ -207,7 +207,8 @@ def q_law_years(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_tfidf(s: SparkSession, d: str) -> DataFrame:
-    return tfidf(table(s, d, "documents").select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("tokens")))
+    documents = spread(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return tfidf(documents.select("id", tokens(F.col("text")).alias("tokens")))
 
 
 def q_new_terms(s: SparkSession, d: str) -> DataFrame:

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from statuta.functions.notation import BLANK, strip
 from statuta.functions.text import mapped_score, tokens
 from statuta.operators.dictionary import alias_relation, by_first_rule, contained, expanded, resolved, typed_values
-from statuta.operators.ranking import bm25, cell_index, confidence, corpus_stats, equalities, fused, nearest, nearest_by_cells, overlap_rerank, term_rank, top
-from statuta.session import table
+from statuta.operators.ranking import bm25, cell_index, confidence, corpus_stats, each_token, equalities, fused, nearest, nearest_by_cells, overlap_rerank, term_rank, top
+from statuta.session import spread, table
 
 #: Every row of a query table whose id is divisible by this is a query.
 EVERY = 20
 
 
 def _documents(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select(F.col("doc_id").alias("id"), "text", "title", "lang", "source", "doc_type", tokens(F.col("text")).alias("tokens"))
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text", "title", "lang", "source", "doc_type")
+    return spread(rows, "id").withColumn("tokens", tokens(F.col("text")))
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
@@ -40,7 +41,7 @@ def _own_aliases(s: SparkSession, d: str) -> DataFrame:
 
 
 def token_df(s: SparkSession, d: str) -> DataFrame:
-    each = _documents(s, d).select("id", F.explode("tokens").alias("token")).groupBy("token", "id").agg(F.count("*").alias("n"))
+    each = each_token(_documents(s, d), "id").groupBy("token", "id").agg(F.count("*").alias("n"))
     return each.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
 
 
@@ -174,7 +175,7 @@ def alias_resolve(s: SparkSession, d: str) -> DataFrame:
 
 
 def entity_detect(s: SparkSession, d: str) -> DataFrame:
-    texts = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    texts = spread(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     return contained(texts, _aliases(s, d)).select(F.col("id").alias("doc_id"), "kind", "canonical", F.col("length").cast("long").alias("length"))
 
 

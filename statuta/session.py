@@ -69,6 +69,7 @@ def small_enough(df: DataFrame, most_rows: int) -> bool:
     return df.limit(most_rows + 1).count() <= most_rows
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that an extra column of the input can't clash with one made later."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` on as many partitions as there are cores, by ``key``, if a small table comes on fewer; large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

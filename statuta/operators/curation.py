@@ -23,6 +23,21 @@ def positions(rows: DataFrame, order: str, buckets: int = 256) -> DataFrame:
     return cut.withColumn("__i", inside).join(F.broadcast(before), "__b").withColumn("pos", (F.col("__before") + F.col("__i")).cast("long")).drop("__b", "__i", "__before")
 
 
+def text_positions(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``pos``, from 1 in the order of text columns, whose values together must be unique.
+
+    Places are counted among the rows whose first column starts with the same three bytes, and moved
+    by the rows before those.
+    """
+    head = F.rpad(F.hex(F.substring(F.encode(F.coalesce(order[0], F.lit("")), "UTF-8"), 1, 3)), 6, "0")
+    cut = rows.withColumn("__b", head)
+    sums = cut.groupBy("__b").agg(F.count("*").alias("__n"))
+    # one row for each three bytes that a text starts with
+    before = sums.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    inside = F.row_number().over(W.partitionBy("__b").orderBy(*order))
+    return cut.withColumn("__i", inside).join(before, "__b").withColumn("pos", (F.col("__before") + F.col("__i")).cast("long")).drop("__b", "__i", "__before")
+
+
 def first_of(rows: DataFrame, value: str, order: str) -> DataFrame:
     """One row for each value that isn't null: the first by ``order``; ``max_by`` combines before the shuffle."""
     cols = [c for c in rows.columns if c not in (value,)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statuta.functions.text import clean_text
+from statuta.operators.curation import text_positions
 
 # Marks at a file's start and the encodings they stand for.
 MARKS = ((b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"), (b"\xef\xbb\xbf", "utf-8-sig"))
@@ -66,9 +67,6 @@ def append_json(df: DataFrame, path: str) -> None:
 
 def corpus_file(texts: DataFrame) -> DataFrame:
     """(``value``): each text under a heading with its place in the order of titles, ready to be written as text."""
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("title", "file_path"))
-    titles = texts.select("title", "file_path").withColumn("i", place)
-    joined = texts.join(titles, ["title", "file_path"])
-    return joined.orderBy("i").select(F.concat(F.lit("# 文件 "), F.col("i").cast("string"), F.lit(": "), F.col("title"), F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("value"))
+    placed = text_positions(texts, "title", "file_path").orderBy("pos")
+    heading = F.concat(F.lit("# 文件 "), F.col("pos").cast("string"), F.lit(": "), F.col("title"))
+    return placed.select(F.concat(heading, F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("value"))

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from statuta.operators.curation import positions, split_in_order
+from statuta.operators.curation import positions, split_in_order, text_positions
 from statuta.operators.dictionary import contained
 from statuta.operators.ranking import bm25, cell_index, confidence, fused, nearest, nearest_by_cells
 from statuta.session import table
@@ -77,3 +77,9 @@ def test_positions_and_split(spark):
     assert [r.pos for r in positions(df, "k", 7).orderBy("k").collect()] == list(range(1, 41))
     assert split_in_order(df, "k").where("part = 'train'").count() == 36
     assert positions(df.limit(0), "k").collect() == []
+
+
+def test_text_positions(spark):
+    words = ["b", "", "资本", "资产", "a", "abcd", "abc", "证", "😀"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r.w for r in text_positions(df, "w").orderBy("pos").collect()] == sorted(words, key=lambda w: w.encode())

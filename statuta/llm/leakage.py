@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +136,85 @@ class SuffixAutomaton:
         return out
 
 
+def _item_blocks(items: DataFrame, item: str, item_text: str, least: int, block_chars: int) -> list[Broadcast]:
+    """The test items in blocks of about ``block_chars`` characters, each sent to the tasks: names, and (number of the name, text)."""
+    if least < ENTRY:
+        raise ValueError(f"least must be {ENTRY} or more")
+    asked = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).dropna().distinct()
+    total = asked.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_chars))
+    out = []
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
+        names = sorted({r.i for r in block})
+        number = {x: k for k, x in enumerate(names)}
+        out.append(items.sparkSession.sparkContext.broadcast((names, [(number[r.i], r.t) for r in block])))
+    return out
+
+
+def _automaton(shipped: Broadcast, least: int) -> tuple[list, SuffixAutomaton]:
+    names, own = shipped.value
+    return names, SuffixAutomaton([folded(t) for _, t in own], [k for k, _ in own], least)
+
+
+def folded_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """As ``folded``, with the place in ``text`` that each character comes from.
+
+    A character and the marks and vowel parts that join it are folded together and count for its place.
+    """
+    codes, places = [], []
+    i, n = 0, len(text)
+    while i < n:
+        j = i + 1
+        while j < n and (unicodedata.combining(text[j]) or "\u1160" <= text[j] <= "\u11ff"):
+            j += 1
+        own = folded(text[i:j])
+        codes.append(own)
+        places += [i] * len(own)
+        i = j
+    return np.concatenate([np.zeros(0, np.uint32), *codes]), np.array(places, np.int64)
+
+
+def without_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, *, least: int = 40, coverage: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(``key``, ``text``, ``removed``) of every document, passages of test items taken out.
+
+    A passage as in ``leaks`` goes with all that stands between its letters. Where passages hold
+    more than ``coverage`` of a document's folded characters, the whole text goes and is empty.
+    ``removed`` is the number of characters taken out. Null texts stay null; one row for each row.
+    """
+    kind = documents.schema[key].dataType.simpleString()
+    out = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(0).alias("removed"))
+    for shipped in _item_blocks(items, item, item_text, least, block_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            _, a = _automaton(shipped, least)
+            for batch in batches:
+                texts, gone = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                for row, t in enumerate(texts):
+                    # looked for on the fast way first
+                    if not t or not a.matches(folded(t)):
+                        continue
+                    codes, places = folded_places(t)
+                    hit = np.zeros(len(codes), bool)
+                    for _, end, length in a.matches(codes):
+                        hit[end - length : end] = True
+                    if hit.sum() > coverage * len(codes):
+                        kept = ""
+                    else:
+                        edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+                        kept, last = "", 0
+                        for b, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                            kept += t[last : places[b]]
+                            last = int(places[e - 1]) + 1
+                        kept += t[last:]
+                    gone[row] += len(t) - len(kept)
+                    texts[row] = kept
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int32())], ["k", "t", "removed"])
+
+        out = out.mapInArrow(run, f"k {kind}, t string, removed int")
+    return out.select(F.col("k").alias(key), F.col("t").alias("text"), "removed")
+
+
 def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, *, least: int = 40, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(``key``, ``item``, ``longest``, ``covered``) for each document and test item that share a passage.
 
@@ -148,24 +228,14 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str
     ``block_chars`` characters, one automaton each, so what is broadcast has that bound (a single
     longer item makes a block of its own).
     """
-    if least < ENTRY:
-        raise ValueError(f"least must be {ENTRY} or more")
-    asked = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).dropna().distinct()
-    total = asked.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_chars))
     kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    spark = documents.sparkSession
+    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
     texts = documents.select(F.col(key), F.col(text).alias("t")).dropna().where(F.length("t") > 0)
     parts = []
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        names = sorted({r.i for r in block})
-        number = {x: k for k, x in enumerate(names)}
-        shipped = spark.sparkContext.broadcast((names, [(number[r.i], r.t) for r in block]))
+    for shipped in _item_blocks(items, item, item_text, least, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            names, own = shipped.value
-            a = SuffixAutomaton([folded(t) for _, t in own], [k for k, _ in own], least)
+            names, a = _automaton(shipped, least)
             for batch in batches:
                 where, which, longest, covered = [], [], [], []
                 for row, t in enumerate(batch.column(1).to_pylist()):
@@ -182,7 +252,6 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str
                         covered.append(x[1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where, pa.int64())), pa.array(which, type=item_type), pa.array(longest, pa.int32()), pa.array(covered, pa.int32())], ["doc", "item", "longest", "covered"])
 
-        item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
         parts.append(texts.mapInArrow(run, f"doc {kind}, item {item_kind}, longest int, covered int"))
     out = parts[0]
     for p in parts[1:]:

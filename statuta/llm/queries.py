@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.llm.bpe_automaton import encode_corpus
-from statuta.llm.leakage import leaks
+from statuta.llm.leakage import leaks, without_leaks
 from statuta.llm.name_mapping import map_cases
 from statuta.llm.scan_repair import paragraphs, scan_noise
 from statuta.llm.shared_spans import record_pairs, shared_share, shared_spans
@@ -47,6 +47,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text").select("doc_id", "item_id")
 
 
+def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return without_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     spans, members = shared_spans(table(spark, folder, "documents"), "doc_id", "text")
     return record_pairs(spans, members).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
@@ -57,5 +61,5 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(documents, "doc_id", "text", *shared_spans(documents, "doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_share": p8_share}
 SQL: dict[str, str] = {}

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from statuta.llm.bpe_automaton import automaton, decode_ids, encode_corpus
 from statuta.llm.codes import window_hashes, winnowed
-from statuta.llm.leakage import SuffixAutomaton, leaks
+from statuta.llm.leakage import SuffixAutomaton, folded_places, leaks, without_leaks
 from statuta.llm.queries import TOKENIZERS
 from statuta.llm.shared_spans import anchors, record_pairs, shared_share, shared_spans
 
@@ -83,6 +83,24 @@ def test_leaks_against_brute_force(spark):
     assert leaks(d, "doc_id", "text", q.limit(0), "item_id", "text").collect() == []
 
 
+def test_leaks_are_taken_out(spark):
+    item = "The quick brown fox jumps over the lazy dog, twice a day at noon."
+    docs = ["Before it. " + item.upper().replace(" ", " \n") + " After it, there is more to tell than was told before, and so on.", item, "nothing", None, "", "ｑ" + "x" * 10]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    q = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = {r.doc_id: (r.text, r.removed) for r in without_leaks(d, "doc_id", "text", q, "item_id", "text").collect()}
+    assert rows[0][0] == "Before it. . After it, there is more to tell than was told before, and so on."
+    assert rows[1] == ("", len(item)) and rows[2] == ("nothing", 0) and rows[3] == (None, 0) and rows[4] == ("", 0) and rows[5] == (docs[5], 0)
+    clean = spark.createDataFrame([(k, v[0]) for k, v in rows.items()], "doc_id long, text string")
+    assert leaks(clean, "doc_id", "text", q, "item_id", "text").collect() == []
+
+
+def test_folded_places():
+    for t in ["e\u0301a", "ﬁn ㎏", "\u1100\u1161x", "资 本", "İ"]:
+        codes, places = folded_places(t)
+        assert "".join(map(chr, codes)) == folded(t) and len(places) == len(codes)
+
+
 def test_leak_lengths():
     t = np.array([ord(c) for c in "abcdefghij" * 6])
     a = SuffixAutomaton([t], [0], 40)

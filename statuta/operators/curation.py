@@ -44,6 +44,13 @@ def first_of(rows: DataFrame, value: str, order: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min_by(F.struct(*cols), F.struct(order)).alias("__x")).select(value, "__x.*")
 
 
+def zipped(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
+    """Rows of two tables side by side, by their places in order; what one has more of stands alone."""
+    a = positions(left, left_order)
+    b = positions(right, right_order)
+    return a.join(b, "pos", "full")
+
+
 def split_in_order(rows: DataFrame, order: str, share: float = 0.9) -> DataFrame:
     """``rows`` with ``part``: ``train`` for the first ``share`` of them in order, else ``validation``."""
     placed = positions(rows, order)

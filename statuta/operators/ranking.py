@@ -109,6 +109,17 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.where(n == 0, 1, n)
 
 
+def hashed_embedding(corpus: DataFrame, size: int = 64) -> DataFrame:
+    """Stand-in for a trained embedding: (``id``, ``dim``, ``weight``), the unit vector of a document's tokens, hashed to ``size`` places.
+
+    Only places that aren't 0 have a row; documents without tokens have none.
+    """
+    dim = F.conv(F.substring(F.md5("token"), 1, 6), 16, 10).cast("long") % size
+    counts = each_token(corpus, "id").groupBy("id", dim.alias("dim")).agg(F.count("*").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy("id")))
+    return counts.select("id", "dim", F.round(F.col("n") / norm, 6).alias("weight"))
+
+
 def cell_index(vectors: DataFrame, cells: int = 32, sample: int = 5_000, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
     """(``id``, ``vector``, ``cell``) of every vector, and the cells' centres.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions.notation import article_key, clean_date, clean_name, cn_number
 from statuta.functions.text import articles, char_windows, clean_text, first_article, title_authority, title_date, title_law, tokens, without_number
-from statuta.operators.curation import first_of, hash_sample, pending, positions, prompt_blocks, split_in_order
+from statuta.operators.curation import first_of, hash_sample, pending, positions, prompt_blocks, split_in_order, zipped
 from statuta.operators.graph import cited_articles, cited_titles, defines, edges, hop, nearest_paths, relation
 from statuta.operators.mining import BODY_PATTERNS, merged, most_common, pattern_counts, tfidf, unknown
 from statuta.operators.splitting import split_documents
@@ -243,6 +243,12 @@ def q_train_split(s: SparkSession, d: str) -> DataFrame:
     return split_in_order(first_of(pairs, "query_text", "hit_id"), "hit_id").select("query_text", "chunk_id", "part")
 
 
+def q_rewrite_zip(s: SparkSession, d: str) -> DataFrame:
+    """Held-out questions and searched texts side by side, in their orders."""
+    asked = first_of(table(s, d, "search_hits").select("query_text", "hit_id"), "query_text", "hit_id")
+    return zipped(table(s, d, "eval_items").select("item_id"), "item_id", asked, "hit_id").select("pos", "item_id", "query_text")
+
+
 def q_question_batches(s: SparkSession, d: str) -> DataFrame:
     placed = positions(table(s, d, "eval_items").select("item_id"), "item_id")
     return placed.groupBy(F.floor((F.col("pos") - 1) / 20).cast("long").alias("batch")).agg(F.count("*").alias("n"), F.min("item_id").alias("first_id"))
@@ -349,6 +355,8 @@ SQL = {
     "resume_pending": f"select query_text, hit_id from ({_FIRST}) where query_text not in (select query_text from search_hits where hit_rank = 1)",
     "train_split": """with f as (select query_text, min_by(chunk_id, hit_id) chunk_id, min(hit_id) hit_id from search_hits where query_text <> '' and chunk_id <> '' group by 1)
       select query_text, chunk_id, case when row_number() over (order by hit_id) <= floor((select count(*) from f) * 0.9::double) then 'train' else 'validation' end part from f""",
+    "rewrite_zip": f"""with a as (select item_id, row_number() over (order by item_id) pos from eval_items), b as (select query_text, row_number() over (order by hit_id) pos from ({_FIRST}))
+      select coalesce(a.pos, b.pos) pos, item_id, query_text from a full join b on a.pos = b.pos""",
     "question_batches": "select (pos - 1) // 20 batch, count(*) n, min(item_id) first_id from (select item_id, row_number() over (order by item_id) pos from eval_items) group by 1",
     "prompt_context": f"""with {_CHUNKS}, k as (select query_id qid, law_name, substr(text, 1, 300) t, row_number() over (partition by query_id order by hit_rank, hit_id) r from search_hits join cur using (chunk_id) qualify r <= 5)
       select qid, md5(string_agg(r || '. 【' || coalesce(law_name, '') || '】' || chr(10) || coalesce(t, ''), chr(10) || chr(10) order by r)) context from k group by qid""",

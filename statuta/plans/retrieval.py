@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from statuta.functions.notation import BLANK, strip
 from statuta.functions.text import mapped_score, tokens
 from statuta.operators.dictionary import alias_relation, by_first_rule, contained, expanded, resolved, typed_values
-from statuta.operators.ranking import bm25, cell_index, confidence, corpus_stats, each_token, equalities, fused, nearest, nearest_by_cells, overlap_rerank, term_rank, top
+from statuta.operators.ranking import bm25, cell_index, confidence, corpus_stats, each_token, equalities, fused, hashed_embedding, nearest, nearest_by_cells, overlap_rerank, term_rank, top
 from statuta.session import spread, table
 
 #: Every row of a query table whose id is divisible by this is a query.
@@ -220,6 +220,15 @@ def _strip(c: str) -> str:
     return f"regexp_replace({c}, '^[{BLANK}]+|[{BLANK}]+$', '', 'g')"
 
 
+def law_by_category(s: SparkSession, d: str) -> DataFrame:
+    names = table(s, d, "canonical_names").where("kind = 'law'")
+    return names.groupBy("category").agg(F.count("*").alias("n"), F.min("full_name").alias("first_name"))
+
+
+def hash_embed(s: SparkSession, d: str) -> DataFrame:
+    return hashed_embedding(_documents(s, d)).withColumnRenamed("id", "doc_id")
+
+
 TOK = "coalesce(list_concat(regexp_extract_all(lower({0}), '[a-z0-9]+'), list_filter(list_transform(range(1, length(lower({0}))), lambda i: substr(lower({0}), i, 2)), lambda x: regexp_matches(x, '^[一-鿿]{{2}}$'))), [])"
 _DOCS = f"docs as (select doc_id id, text, title, lang, source, doc_type, {TOK.format('text')} tokens from documents)"
 _ASKED = f"asked as (select item_id qid, text query, {TOK.format('text')} tokens from eval_items where item_id % 20 = 0)"
@@ -290,7 +299,7 @@ QUERIES = {
     "knn_batch": knn_batch, "knn_filtered": knn_filtered, "knn_selfjoin_top3": knn_selfjoin, "knn_norm_score": knn_norm_score, "knn_cells": knn_cells,
     "term_postings": term_postings, "term_df": term_df, "term_rank": term_rank_laws, "retrieve_fused": retrieve_fused, "rrf_two_way": rrf_two_way, "rerank_overlap": rerank, "confidence": answer_confidence,
     "alias_map": alias_map, "alias_resolve": alias_resolve, "entity_detect": entity_detect, "query_expand": query_expand, "term_search": term_search, "dict_stats": dict_stats,
-    "title_detect": title_detect, "rule_category": rule_category, "filter_values": filter_values,
+    "title_detect": title_detect, "rule_category": rule_category, "filter_values": filter_values, "law_by_category": law_by_category, "hash_embed": hash_embed,
 }
 
 SQL = {
@@ -336,5 +345,8 @@ SQL = {
     "rule_category": """with r as (select substr(category, 1, 2) keyword, category, min(canon_id) priority from canonical_names group by all),
       m as (select name, category from (select distinct name from dictionary_candidates) join r on contains(name, keyword) qualify row_number() over (partition by name order by priority, keyword, category) = 1)
       select candidate_id, coalesce(m.category, '其他') category from dictionary_candidates left join m using (name)""",
+    "law_by_category": "select category, count(*) n, min(full_name) first_name from canonical_names where kind = 'law' group by 1",
+    "hash_embed": f"""with {_DOCS}, c as (select id, ('0x' || substr(md5(token), 1, 6))::bigint % 64 dim, count(*) n from (select id, unnest(tokens) token from docs) group by all)
+      select id doc_id, dim, round(n / sqrt(sum(n * n) over (partition by id)), 6) weight from c""",
     "filter_values": f"select value, count(*) n from (select {_strip('v')} as value from (select unnest(regexp_split_to_array(authority, '[,，、]')) v from chunks)) where value <> '' group by value",
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -29,16 +30,26 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str)
 
 
 def ship(spark: SparkSession) -> None:
-    """Let the Python workers of this application import the package, wherever they run; does nothing the second time."""
+    """Let the Python workers of this application import the package, unless their path has it; does nothing the second time.
+
+    The package goes as a zip file through the shared scratch folder.
+    """
     sc = spark.sparkContext
-    if getattr(sc, "_statuta_shipped", None) != sc.applicationId:
-        here = Path(__file__).resolve().parent
-        at = Path(tempfile.mkdtemp(prefix="statuta-ship-")) / "statuta.zip"
-        with zipfile.ZipFile(at, "w") as z:
-            for p in sorted(here.rglob("*.py")):
-                z.write(p, p.relative_to(here.parent))
-        sc.addPyFile(str(at))
-        sc._statuta_shipped = sc.applicationId
+    here = Path(__file__).resolve().parent
+    on_path = str(here.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if on_path or getattr(sc, "_statuta_shipped", None) == sc.applicationId:
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/statuta-{uuid.uuid4().hex}.zip")
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(fs.makeQualified(path).toString())
+    sc._statuta_shipped = sc.applicationId
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

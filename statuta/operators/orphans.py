@@ -75,7 +75,7 @@ def suspects(refs: DataFrame, parents: DataFrame, ranges: int) -> tuple[DataFram
     up over the periods before, is taken from the first (AND-NOT), and the bits left are decoded.
     """
     asked = refs.select("__key", "__period").distinct()
-    coded = key_dictionary(asked.select("__key").unionByName(parents.select("__key")), ranges)
+    coded = cut(key_dictionary(asked.select("__key").unionByName(parents.select("__key")), ranges))
     asked_bits = _bitmaps(asked.join(coded, "__key"), "__period").select("__range", "__block", F.col("__period").alias("period"), F.lit(1).alias("kind"), "__bits")
     there = parents.where("__for_good is not null").select("__key", F.date_format("__for_good", PERIOD).alias("__period"))
     there_bits = _bitmaps(there.join(coded, "__key"), "__period").select("__range", "__block", F.col("__period").alias("period"), F.lit(0).alias("kind"), "__bits")
@@ -120,7 +120,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, tag: list[str], *, ra
     A bitmap AND-NOT per key range and period finds the references that may be orphans
     (``suspects``); only these are held against the exact times.
     """
-    asked = refs.select(F.col("key").alias("__key"), F.col("at").alias("__t"), *tag).dropna(subset=["__key", "__t"]).withColumn("__period", F.date_format("__t", PERIOD))
+    asked = cut(refs.select(F.col("key").alias("__key"), F.col("at").alias("__t"), *tag).dropna(subset=["__key", "__t"]).withColumn("__period", F.date_format("__t", PERIOD)))
     rows = parents.select(F.col("key").alias("__key"), F.col("loaded_at").alias("__from"), F.col("deleted_at").alias("__to")).dropna(subset=["__key", "__from"])
     once = cut(rows.groupBy("__key").agg(F.min("__from").alias("__first"), F.min(F.when(F.col("__to").isNull(), F.col("__from"))).alias("__for_good"), F.count("__to").alias("__ended")))
     if ranges is None:

@@ -34,6 +34,8 @@ TIMES = 8
 USUAL, LEAST_MASS = 20, 2e-4
 #: Different surroundings, or words, in which a confusion must be met before it counts as one.
 SEEN = 3
+#: Letters of a word that is judged; in words of one letter every letter would be off by one.
+LEAST_WORD, MOST_WORD = 2, 40
 #: How often a word must occur to be a usual one, and how many times as often as one that is misread for it.
 OFTEN = 15
 #: Files of which the line model is trained; all files are labelled.
@@ -222,11 +224,13 @@ def confused_words(words: DataFrame, divided: DataFrame) -> DataFrame:
     """(``w``, ``right``, ``at``): rare words, the frequent word each stands for, and where they differ first.
 
     Words meet through what is left when one letter is blotted out, or when a pair of letters is
-    read as one; the change must be met in ``SEEN`` different words.
+    read as one; the change must be met in ``SEEN`` different words. Words of one letter or more
+    than ``MOST_WORD`` are not judged, and short numbers with a letter in them are left to the numbers.
     """
     # words that line ends divide may be misread, but tell nothing about what is usual
     more = divided.select(F.lower(F.regexp_replace("w", f"[{MARKS}]", "")).alias("w"), F.lit(0).cast("long").alias("n"))
-    known = words.unionByName(more).groupBy("w").agg(F.greatest(F.lit(1), F.sum("n")).alias("n")).where(F.length("w").between(4, 40) & ~F.col("w").contains("-"))
+    known = words.unionByName(more).groupBy("w").agg(F.greatest(F.lit(1), F.sum("n")).alias("n")).where(F.length("w").between(LEAST_WORD, MOST_WORD) & ~F.col("w").contains("-"))
+    known = known.where("length(w) > 3 or not w rlike '^[lio]*[0-9][0-9lio]*$'")
 
     def changed(i: Column, size: int, put: str) -> Column:
         return F.concat(F.substring("w", F.lit(1), i - 1), F.lit(put), F.substring("w", i + size, F.lit(64)))
@@ -284,7 +288,7 @@ def suspects(bodies: DataFrame, key: str, chars: list[int], hints: set[int] | No
                 text, starts = b.text, [*b.starts, len(b.text)]
                 for m in _WORD.finditer(text):
                     w = m.group().lower()
-                    if len(w) > 3 and (words is None or w in words):
+                    if len(w) >= LEAST_WORD and (words is None or w in words):
                         for i in range(b.line_of(m.start()), b.line_of(m.end() - 1) + 1):
                             if i not in b.titles:
                                 put(row, "word", b.pages[i], b.numbers[i], m.start(), w, None, None, max(0, starts[i] - m.start()), min(m.end(), starts[i + 1]) - m.start())

@@ -19,6 +19,9 @@ SEED = 64
 BLOCK = 256
 #: Ids that are sent to all tasks, to pick their texts without shuffling all others.
 IDS_AT_MOST = 1_000_000
+#: A row of seeds is sent as one number: its reach, and its step in so many bits.
+STEP_BITS = 24
+STEP_MASK = (1 << STEP_BITS) - 1
 #: Code points of neighbouring short texts that are hashed together.
 CHUNK = 1 << 21
 
@@ -28,10 +31,11 @@ def _points(text: str) -> np.ndarray:
 
 
 def anchors(text: str, least: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the seeds that winnowing picks; every shared span of ``least`` has one at the same place.
+    """Hashes of the seeds that winnowing picks, and where they are; every shared span of ``least`` has one at the same place.
 
-    Of a seed that comes back at equal distances, as in a text that repeats itself, the first and
-    the last of the row are kept: any alignment of two such rows is one of theirs, up to whole periods.
+    Places are (first, reach, step). A seed that comes back at equal distances of no more than its
+    length, as in a text that repeats itself, is one row: it stands at ``first``, ``first + step``
+    and so on to ``first + reach``. Any other seed has a reach and step of 0.
     """
     w = least - seed + 1
     codes = _points(text)
@@ -47,12 +51,19 @@ def anchors(text: str, least: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     h, p = h[order], p[order]
     fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (p[1:] != p[:-1])]) if len(h) else np.zeros(0, bool)
     h, p = h[fresh], p[fresh]
-    if len(h) > 2:
-        gap = np.where(h[1:] == h[:-1], p[1:] - p[:-1], -1)
-        inner = (gap[1:] == gap[:-1]) & (gap[1:] >= 0) & (gap[1:] <= w)
-        keep = np.concatenate([[True], ~inner, [True]])
-        h, p = h[keep], p[keep]
-    return h, p
+    gap = np.where((h[1:] == h[:-1]) & (p[1:] - p[:-1] <= seed), p[1:] - p[:-1], 0)
+    edge = np.flatnonzero(np.concatenate([[True], gap[1:] != gap[:-1], [True]])) if len(gap) else np.zeros(1, np.int64)
+    first, last = edge[:-1], edge[1:]
+    row = (gap[first] > 0) & (last - first > 1) if len(gap) else np.zeros(0, bool)
+    first, last = first[row], last[row]
+    inside = np.zeros(len(h) + 1, np.int64)
+    np.add.at(inside, first, 1)
+    np.add.at(inside, last + 1, -1)
+    alone = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+    places = np.zeros((len(alone) + len(first), 3), np.int64)
+    places[: len(alone), 0] = p[alone]
+    places[len(alone) :] = np.stack([p[first], p[last] - p[first], gap[first] if len(gap) else first], 1)
+    return np.concatenate([h[alone], h[first]]), places
 
 
 def maximal_repeats(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -73,6 +84,55 @@ def maximal_repeats(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.nda
     return out
 
 
+def _stretch(codes: np.ndarray, at: int, step: int) -> tuple[int, int]:
+    """Start and end of the part around ``at`` that repeats itself every ``step``."""
+    breaks = np.flatnonzero(codes[:-step] != codes[step:])
+    i = np.searchsorted(breaks, at)
+    return (int(breaks[i - 1]) + 1 if i else 0), (int(breaks[i]) + step if i < len(breaks) else len(codes))
+
+
+def _around(a: np.ndarray, b: np.ndarray, x: int, y: int) -> tuple[int, int, int]:
+    """The match that holds the equal places ``x`` of ``a`` and ``y`` of ``b``."""
+
+    def same(u: np.ndarray, v: np.ndarray) -> int:
+        n, have, size = min(len(u), len(v)), 0, 256
+        while have < n:
+            differs = np.flatnonzero(u[have : min(n, have + size)] != v[have : min(n, have + size)])
+            if len(differs):
+                return have + int(differs[0])
+            have, size = have + size, 2 * size
+        return n
+
+    back = same(a[:x][::-1], b[:y][::-1])
+    return x - back, y - back, back + same(a[x:], b[y:])
+
+
+def row_repeats(a: np.ndarray, b: np.ndarray, row_a: tuple[int, int, int], row_b: tuple[int, int, int], least: int) -> np.ndarray:
+    """As ``maximal_repeats``, for two rows (first, reach, step) of one seed, at least one of them with a step.
+
+    Rows of one step lie in stretches of that period, and meet on one diagonal for each whole
+    period. Their common part ends with the stretch that ends first; only where both stretches
+    begin, or end, together may the match go on. Rows of different steps have no two places of the
+    seed in common unless at an end of a row, so that a match at an inner place doesn't go beyond
+    the neighbouring ones: it is the same at every inner place, and one of them stands for all on the other side.
+    """
+    (fa, ra, sa), (fb, rb, sb) = row_a, row_b
+    if sa == sb:
+        (pa_, qa), (pb, qb) = _stretch(a, fa, sa), _stretch(b, fb, sb)
+        d = np.arange(fa - fb - rb, fa + ra - fb + 1, sa)
+        start, end = np.maximum(pa_, pb + d), np.minimum(qa, qb + d)
+        open_ = (d == pa_ - pb) | (d == qa - qb)
+        keep = ~open_ & (end - start >= least)
+        out = [np.stack([start, start - d, end - start], 1)[keep]]
+        more = [_around(a, b, int(s), int(s - e)) for s, e in zip(np.maximum(fa, fb + d)[open_], d[open_], strict=True)]
+    else:
+        xs, ys = (list(range(f, f + r + 1, s)) if s else [f] for f, r, s in (row_a, row_b))
+        ends = lambda v: {v[0], v[min(1, len(v) - 1)], v[-1]}
+        met = {(x, y) for x in ends(xs) for y in ys} | {(x, y) for x in xs for y in ends(ys)}
+        out, more = [], [_around(a, b, x, y) for x, y in met]
+    return np.concatenate([*out, np.array([m for m in more if m[2] >= least], np.int64).reshape(-1, 3)])
+
+
 def classes(records: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """(``id``, ``rep``) of each record with a text of ``least`` or more: ``rep`` is the least id with that very text."""
     long = records.where(F.length(text) >= least).select(F.col(key).alias("id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest")).dropna().distinct()
@@ -112,19 +172,20 @@ def shared_spans(records: DataFrame, key: str, text: str, *, least: int = 120, s
                 ps.append(p)
                 ns.append(len(h))
             if ns:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), ids.take(pa.array(np.repeat(np.arange(len(ns)), ns))), pa.array(np.concatenate(ps).astype(np.int32))], ["h", "id", "at"])
+                at = np.concatenate(ps)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), ids.take(pa.array(np.repeat(np.arange(len(ns)), ns))), pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1] << STEP_BITS | at[:, 2])], ["h", "id", "at", "row"])
 
     kind = records.schema[key].dataType.simpleString()
-    found = cut(rows.join(_sent(firsts), "id", "left_semi").select("id", "text").mapInArrow(seeds, f"h long, id {kind}, at int"))
+    found = cut(rows.join(_sent(firsts), "id", "left_semi").select("id", "text").mapInArrow(seeds, f"h long, id {kind}, at int, row long"))
     lists = found.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).where("a < z").select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     shared = found.join(lists, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = shared.select("h", F.col("block").alias("x"), other.alias("y"), F.col("id").alias("rep_a"), F.col("at").alias("at_a"))
-    right = shared.select("h", other.alias("x"), F.col("block").alias("y"), F.col("id").alias("rep_b"), F.col("at").alias("at_b"))
-    met = left.join(right, ["h", "x", "y"]).where("rep_a < rep_b").select("rep_a", "rep_b", "at_a", F.expr("at_a - at_b").alias("diagonal"))
-    # seeds that overlap on one diagonal lie in one repeat: the first of each stretch stands for them
-    met = met.groupBy("rep_a", "rep_b", "diagonal", F.expr(f"at_a div {seed}").alias("stretch")).agg(F.min("at_a").alias("at_a"))
-    pairs = cut(met.groupBy("rep_a", "rep_b").agg(F.collect_list(F.struct("at_a", F.expr("at_a - diagonal").alias("at_b"))).alias("anchors")))
+    left = shared.select("h", F.col("block").alias("x"), other.alias("y"), F.col("id").alias("rep_a"), F.col("at").alias("at_a"), F.col("row").alias("row_a"))
+    right = shared.select("h", other.alias("x"), F.col("block").alias("y"), F.col("id").alias("rep_b"), F.col("at").alias("at_b"), F.col("row").alias("row_b"))
+    met = left.join(right, ["h", "x", "y"]).where("rep_a < rep_b").select("rep_a", "rep_b", "at_a", F.expr("at_a - at_b").alias("diagonal"), "row_a", "row_b")
+    # seeds that overlap on one diagonal lie in one repeat: the first of each stretch stands for them, and so do rows of one make
+    met = met.groupBy("rep_a", "rep_b", "diagonal", "row_a", "row_b", F.expr(f"at_a div {seed}").alias("stretch")).agg(F.min("at_a").alias("at_a"))
+    pairs = cut(met.groupBy("rep_a", "rep_b").agg(F.collect_list(F.struct("at_a", F.expr("at_a - diagonal").alias("at_b"), "row_a", "row_b")).alias("anchors")))
     needed = pairs.select(F.col("rep_a").alias("id")).unionByName(pairs.select(F.col("rep_b").alias("id"))).distinct()
     texts = cut(rows.join(_sent(needed), "id", "left_semi"))
     both = pairs.join(texts.select(F.col("id").alias("rep_a"), F.col("text").alias("text_a")), "rep_a").join(texts.select(F.col("id").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
@@ -132,13 +193,19 @@ def shared_spans(records: DataFrame, key: str, text: str, *, least: int = 120, s
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start_a", pa.int32()), ("start_b", pa.int32()), ("length", pa.int32())]))
         for batch in batches:
-            out = []
+            out, sizes = [], []
             for ta, tb, an in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-                flat = an.values
-                at_a, at_b = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
-                spans = maximal_repeats(_points(ta.as_py()), _points(tb.as_py()), at_a, at_b, least)
-                out.append([{"start_a": a, "start_b": b, "length": n} for a, b, n in sorted(spans)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, span)], ["rep_a", "rep_b", "spans"])
+                at_a, at_b, row_a, row_b = (an.values.field(i).to_numpy().astype(np.int64) for i in range(4))
+                a, b = _points(ta.as_py()), _points(tb.as_py())
+                alone = (row_a | row_b) == 0
+                found = [np.array(maximal_repeats(a, b, at_a[alone], at_b[alone], least), np.int64).reshape(-1, 3)]
+                for x, y, ra, rb in zip(*(v[~alone].tolist() for v in (at_a, at_b, row_a, row_b)), strict=True):
+                    found.append(row_repeats(a, b, (x, ra >> STEP_BITS, ra & STEP_MASK), (y, rb >> STEP_BITS, rb & STEP_MASK), least))
+                out.append(np.unique(np.concatenate(found), axis=0).astype(np.int32))
+                sizes.append(len(out[-1]))
+            flat = np.concatenate([np.zeros((0, 3), np.int32), *out])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(flat[:, i].copy()) for i in range(3)], fields=list(span.value_type)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["rep_a", "rep_b", "spans"])
 
     spans = both.select("rep_a", "rep_b", "text_a", "text_b", "anchors").mapInArrow(extended, f"rep_a {kind}, rep_b {kind}, spans array<struct<start_a int, start_b int, length int>>")
     return spans.where("size(spans) > 0"), members

@@ -12,7 +12,7 @@ from statuta.llm.bpe_automaton import automaton, decode_ids, encode_corpus
 from statuta.llm.codes import window_hashes, winnowed
 from statuta.llm.leakage import SuffixAutomaton, folded_places, leaks, without_leaks
 from statuta.llm.queries import TOKENIZERS
-from statuta.llm.shared_spans import anchors, record_pairs, shared_share, shared_spans
+from statuta.llm.shared_spans import anchors, maximal_repeats, record_pairs, row_repeats, shared_share, shared_spans
 
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 needs_vocabulary = pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="no vocabulary")
@@ -159,3 +159,70 @@ def test_spans_of_empty_table(spark):
 def test_periodic_text_has_few_anchors():
     h, _ = anchors("ab" * 50_000, 120, 64)
     assert len(h) <= 8
+
+
+def points(text):
+    return np.array([ord(c) for c in text], np.uint32)
+
+
+def repeats_of(a, b, least, seed):
+    """All repeats that the anchors of two texts lead to."""
+    (ha, pa), (hb, pb) = anchors(a, least, seed), anchors(b, least, seed)
+    out = set()
+    for h, x in zip(ha.tolist(), pa.tolist(), strict=True):
+        for g, y in zip(hb.tolist(), pb.tolist(), strict=True):
+            if h == g and (x[2] or y[2]):
+                out |= {tuple(s) for s in row_repeats(points(a), points(b), tuple(x), tuple(y), least).tolist()}
+            elif h == g:
+                out |= set(maximal_repeats(points(a), points(b), np.array([x[0]]), np.array([y[0]]), least))
+    return out
+
+
+def covered(spans, side, n):
+    c = np.zeros(n, bool)
+    for s in spans:
+        c[s[side] : s[side] + s[2]] = True
+    return c.tolist()
+
+
+def covered_brute(a, b, least):
+    grams = {b[k : k + least] for k in range(len(b) - least + 1)}
+    c = np.zeros(len(a), bool)
+    for k in range(len(a) - least + 1):
+        if a[k : k + least] in grams:
+            c[k : k + least] = True
+    return c.tolist()
+
+
+@pytest.mark.parametrize("least,seed", [(120, 64), (30, 12), (20, 15), (12, 12)])
+def test_periodic_stretches_against_brute_force(least, seed):
+    r = random.Random(least)
+    letters = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    hits = 0
+    for _ in range(150):
+        period = r.randrange(1, least)
+        unit = letters(period, r.choice(["ab", "abcdefgh"]))
+        other = unit + letters(r.randrange(1, 3), "ab") if r.random() < 0.3 else unit
+        cut = lambda u, n: (u * (n // len(u) + 2))[(k := r.randrange(len(u))) : k + n]
+        edge = lambda: letters(r.randrange(0, 30), r.choice(["xy", "ab"]))
+        a = edge() + cut(unit, r.randrange(least, least + period + 2)) + edge()
+        b = edge() + cut(other, r.randrange(2 * least, 5 * least)) + edge() + (cut(unit, 2 * least) + edge() if r.random() < 0.3 else "")
+        got = repeats_of(a, b, least, seed)
+        for x, y, n in got:
+            assert n >= least and a[x : x + n] == b[y : y + n]
+            assert (x == 0 or y == 0 or a[x - 1] != b[y - 1]) and (x + n == len(a) or y + n == len(b) or a[x + n] != b[y + n])
+        assert covered(got, 0, len(a)) == covered_brute(a, b, least)
+        assert covered(got, 1, len(b)) == covered_brute(b, a, least)
+        hits += bool(got)
+    assert hits > 50
+
+
+def test_periodic_stretches_in_records(spark):
+    unit = "abcdefghijk"
+    docs = ["<" + (unit * 30)[:200] + ">", "[" + (unit * 60)[3:503] + "]", "1234567" * 18 + "!", "4" + "567" + "1234567" * 17 + "?", "no part of it"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    spans, members = shared_spans(df, "doc_id", "text")
+    want, _ = spans_brute(list(enumerate(docs)), 120)
+    assert {(p.a, p.b) for p in record_pairs(spans, members).collect()} == want >= {(0, 1)}
+    shared = {r.doc_id: r.shared_chars for r in shared_share(df, "doc_id", "text", spans, members).collect()}
+    assert shared[0] == 200 and shared[1] == 500 and shared[4] == 0

@@ -11,14 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.llm.codes import window_hashes, winnowed
-from statuta.session import cut, small_enough
+from statuta.session import cut
 
 #: Code points of one seed. A span of ``least`` holds ``least - SEED + 1`` seeds, the window of the winnowing.
 SEED = 64
 #: Records of one block of a seed's list; longer lists are joined block by block.
 BLOCK = 256
-#: Ids that are sent to all tasks, to pick their texts without shuffling all others.
-IDS_AT_MOST = 1_000_000
 #: A row of seeds is sent as one number: its reach, and its step in so many bits.
 STEP_BITS = 24
 STEP_MASK = (1 << STEP_BITS) - 1
@@ -139,9 +137,29 @@ def classes(records: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return long.join(long.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("id", "rep")
 
 
-def _sent(ids: DataFrame) -> DataFrame:
-    """``ids`` marked to be sent to all tasks if they are few enough; else texts and ids meet in a shuffle."""
-    return F.broadcast(ids) if small_enough(ids, IDS_AT_MOST) else ids
+def stretches(places: list[tuple[int, int]], size: int, seed: int, least: int) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a text in which a repeat of ``least`` around one of its seeds can lie.
+
+    ``places``: (first, reach) of the seeds. Each part of ``least`` of a repeat holds a seed of it, and
+    so lies within ``least - seed`` before and behind that seed; what lies between the parts takes no part in any repeat.
+    """
+    out: list[list[int]] = []
+    for at, reach in sorted(places):
+        a, b = max(0, at - (least - seed)), min(size, at + reach + least)
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def laid_out(starts: list[int], pieces: list[str], gap: int) -> np.ndarray:
+    """The code points of a text of which only ``pieces`` are known, ``gap`` (no code point) at all other places."""
+    parts = [_points(p) for p in pieces]
+    out = np.full(max((a + len(p) for a, p in zip(starts, parts, strict=True)), default=0), gap, np.uint32)
+    for a, p in zip(starts, parts, strict=True):
+        out[a : a + len(p)] = p
+    return out
 
 
 def shared_spans(records: DataFrame, key: str, text: str, *, least: int = 120, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +173,8 @@ def shared_spans(records: DataFrame, key: str, text: str, *, least: int = 120, s
     results; other columns are ignored.
 
     Seeds of a third of all records are joined in blocks of ``BLOCK`` records, so no task gets a
-    whole seed's list.
+    whole seed's list. Of each text only the parts around seeds that another text has too go to
+    its pairs (``stretches``): a notice that stands in very many texts is sent alone, not with all of them.
     """
     if not 0 < seed <= least:
         raise ValueError("seed must be between 1 and least")
@@ -176,9 +195,9 @@ def shared_spans(records: DataFrame, key: str, text: str, *, least: int = 120, s
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), ids.take(pa.array(np.repeat(np.arange(len(ns)), ns))), pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1] << STEP_BITS | at[:, 2])], ["h", "id", "at", "row"])
 
     kind = records.schema[key].dataType.simpleString()
-    found = cut(rows.join(_sent(firsts), "id", "left_semi").select("id", "text").mapInArrow(seeds, f"h long, id {kind}, at int, row long"))
+    found = cut(rows.join(firsts, "id", "left_semi").select("id", "text").mapInArrow(seeds, f"h long, id {kind}, at int, row long"))
     lists = found.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).where("a < z").select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    shared = found.join(lists, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    shared = cut(found.join(lists, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = shared.select("h", F.col("block").alias("x"), other.alias("y"), F.col("id").alias("rep_a"), F.col("at").alias("at_a"), F.col("row").alias("row_a"))
     right = shared.select("h", other.alias("x"), F.col("block").alias("y"), F.col("id").alias("rep_b"), F.col("at").alias("at_b"), F.col("row").alias("row_b"))
@@ -186,9 +205,21 @@ def shared_spans(records: DataFrame, key: str, text: str, *, least: int = 120, s
     # seeds that overlap on one diagonal lie in one repeat: the first of each stretch stands for them, and so do rows of one make
     met = met.groupBy("rep_a", "rep_b", "diagonal", "row_a", "row_b", F.expr(f"at_a div {seed}").alias("stretch")).agg(F.min("at_a").alias("at_a"))
     pairs = cut(met.groupBy("rep_a", "rep_b").agg(F.collect_list(F.struct("at_a", F.expr("at_a - diagonal").alias("at_b"), "row_a", "row_b")).alias("anchors")))
-    needed = pairs.select(F.col("rep_a").alias("id")).unionByName(pairs.select(F.col("rep_b").alias("id"))).distinct()
-    texts = cut(rows.join(_sent(needed), "id", "left_semi"))
-    both = pairs.join(texts.select(F.col("id").alias("rep_a"), F.col("text").alias("text_a")), "rep_a").join(texts.select(F.col("id").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
+    reach = F.shiftright("row", STEP_BITS).cast("int").alias("reach")
+    places = shared.select("id", F.struct("at", reach).alias("x")).distinct().groupBy("id").agg(F.collect_list("x").alias("places"))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, parts = [], []
+            for t, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                kept = stretches([(x["at"], x["reach"]) for x in own], len(t), seed, least)
+                starts.append([a for a, _ in kept])
+                parts.append([t[a:b] for a, b in kept])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.string()))], ["id", "starts", "pieces"])
+
+    texts = cut(rows.join(places, "id").select("id", "text", "places").mapInArrow(pieces, f"id {kind}, starts array<int>, pieces array<string>").distinct())
+    side = lambda s: texts.select(F.col("id").alias(f"rep_{s}"), F.struct("starts", "pieces").alias(f"text_{s}"))
+    both = pairs.join(side("a"), "rep_a").join(side("b"), "rep_b")
 
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start_a", pa.int32()), ("start_b", pa.int32()), ("length", pa.int32())]))
@@ -196,7 +227,9 @@ def shared_spans(records: DataFrame, key: str, text: str, *, least: int = 120, s
             out, sizes = [], []
             for ta, tb, an in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
                 at_a, at_b, row_a, row_b = (an.values.field(i).to_numpy().astype(np.int64) for i in range(4))
-                a, b = _points(ta.as_py()), _points(tb.as_py())
+                ta, tb = ta.as_py(), tb.as_py()
+                # places that are not known differ from each other too
+                a, b = laid_out(ta["starts"], ta["pieces"], 0x110001), laid_out(tb["starts"], tb["pieces"], 0x110002)
                 alone = (row_a | row_b) == 0
                 found = [np.array(maximal_repeats(a, b, at_a[alone], at_b[alone], least), np.int64).reshape(-1, 3)]
                 for x, y, ra, rb in zip(*(v[~alone].tolist() for v in (at_a, at_b, row_a, row_b)), strict=True):

@@ -132,9 +132,13 @@ def row_repeats(a: np.ndarray, b: np.ndarray, row_a: tuple[int, int, int], row_b
 
 
 def classes(records: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(``id``, ``rep``) of each record with a text of ``least`` or more: ``rep`` is the least id with that very text."""
-    long = records.where(F.length(text) >= least).select(F.col(key).alias("id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest")).dropna().distinct()
-    return long.join(long.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("id", "rep")
+    """(``id``, ``rep``, ``digest``) of each record with a text of ``least`` or more: ``rep`` is the least id with that very text.
+
+    Texts are told apart by 128 bits; ``digest`` is half of them.
+    """
+    digests = (F.xxhash64(text).alias("digest"), F.xxhash64(F.lit("second"), F.col(text)).alias("other"))
+    long = records.where(F.length(text) >= least).select(F.col(key).alias("id"), *digests).dropna().distinct()
+    return long.join(long.groupBy("digest", "other").agg(F.min("id").alias("rep")), ["digest", "other"]).select("id", "rep", "digest")
 
 
 def stretches(places: list[tuple[int, int]], size: int, seed: int, least: int) -> list[tuple[int, int]]:
@@ -168,7 +172,7 @@ def shared_spans(records: DataFrame, key: str, text: str, *, least: int = 120, s
     First result: ``rep_a`` < ``rep_b`` and ``spans``, all maximal repeats of at least ``least`` code
     points as (``start_a``, ``start_b``, ``length``). Second: ``id``, ``rep`` of every record long
     enough; records with the very same text have one ``rep``, the least of their ids, so that
-    copies are worked on once however many there are. Texts are compared as stored. Null keys, null
+    copies are joined once however many there are. Texts are compared as stored. Null keys, null
     texts and shorter texts are in neither; repeated rows count once; an empty table gives empty
     results; other columns are ignored.
 
@@ -179,25 +183,32 @@ def shared_spans(records: DataFrame, key: str, text: str, *, least: int = 120, s
     if not 0 < seed <= least:
         raise ValueError("seed must be between 1 and least")
     members = cut(classes(records, key, text, least))
-    rows = records.where(F.length(text) >= least).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    firsts = members.where("id = rep").select("id")
+    rows = records.where((F.length(text) >= least) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a text whose copies stand in one task is taken apart there once
+        met: set[int] = set()
         for batch in batches:
-            ids, hs, ps, ns = batch.column(0), [], [], []
-            for t in batch.column(1):
+            digests, hs, ps, ns, own = batch.column(0), [], [], [], []
+            for row, (d, t) in enumerate(zip(digests.to_pylist(), batch.column(1), strict=True)):
+                if d in met:
+                    continue
+                met.add(d)
+                own.append(row)
                 h, p = anchors(t.as_py(), least, seed)
                 hs.append(h)
                 ps.append(p)
                 ns.append(len(h))
             if ns:
                 at = np.concatenate(ps)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), ids.take(pa.array(np.repeat(np.arange(len(ns)), ns))), pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1] << STEP_BITS | at[:, 2])], ["h", "id", "at", "row"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), digests.take(pa.array(np.repeat(own, ns))), pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1] << STEP_BITS | at[:, 2])], ["h", "digest", "at", "row"])
 
     kind = records.schema[key].dataType.simpleString()
-    found = cut(rows.join(firsts, "id", "left_semi").select("id", "text").mapInArrow(seeds, f"h long, id {kind}, at int, row long"))
-    lists = found.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).where("a < z").select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    shared = cut(found.join(lists, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    found = cut(rows.select(F.xxhash64("text"), "text").mapInArrow(seeds, "h long, digest long, at int, row long"))
+    lists = found.groupBy("h").agg(F.min("digest").alias("a"), F.max("digest").alias("z"), F.count("*").alias("n")).where("a < z").select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # the seeds that several texts have, few of all, get the ids; two texts of one digest would get each other's seeds too, which the texts then don't bear out
+    shared = found.join(lists, "h").join(members.where("id = rep").select("digest", "id"), "digest").drop("digest").distinct()
+    shared = cut(shared.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = shared.select("h", F.col("block").alias("x"), other.alias("y"), F.col("id").alias("rep_a"), F.col("at").alias("at_a"), F.col("row").alias("row_a"))
     right = shared.select("h", other.alias("x"), F.col("block").alias("y"), F.col("id").alias("rep_b"), F.col("at").alias("at_b"), F.col("row").alias("row_b"))
@@ -241,7 +252,7 @@ def shared_spans(records: DataFrame, key: str, text: str, *, least: int = 120, s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["rep_a", "rep_b", "spans"])
 
     spans = both.select("rep_a", "rep_b", "text_a", "text_b", "anchors").mapInArrow(extended, f"rep_a {kind}, rep_b {kind}, spans array<struct<start_a int, start_b int, length int>>")
-    return spans.where("size(spans) > 0"), members
+    return spans.where("size(spans) > 0"), members.select("id", "rep")
 
 
 def record_pairs(spans: DataFrame, members: DataFrame) -> DataFrame:

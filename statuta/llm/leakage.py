@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta.llm.codes import window_hashes
+from statuta.session import cut
 
 #: Code points of the grams by which the stream enters the automaton; a match of ``least`` has one at a sampled place.
 ENTRY = 16
-#: Characters of test items that go into one automaton; more items make more automata, one block of items after another.
-BLOCK_CHARS = 2_000_000
+#: Characters of test items that go into one automaton, of about 160 MB; more items make more automata, one block of items after another.
+BLOCK_CHARS = 200_000
 _KEPT: list[np.ndarray] = []
+#: The automaton that this worker built last, by the name of its block.
+_BUILT: dict[tuple[str, int], tuple[list, SuffixAutomaton]] = {}
 
 
 def _letters() -> np.ndarray:
@@ -148,13 +152,17 @@ def _item_blocks(items: DataFrame, item: str, item_text: str, least: int, block_
         block = asked.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
         names = sorted({r.i for r in block})
         number = {x: k for k, x in enumerate(names)}
-        out.append(items.sparkSession.sparkContext.broadcast((names, [(number[r.i], r.t) for r in block])))
+        out.append(items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, names, [(number[r.i], r.t) for r in block])))
     return out
 
 
 def _automaton(shipped: Broadcast, least: int) -> tuple[list, SuffixAutomaton]:
-    names, own = shipped.value
-    return names, SuffixAutomaton([folded(t) for _, t in own], [k for k, _ in own], least)
+    """Names and automaton of a block; a worker keeps its last one for the tasks that follow."""
+    token, names, own = shipped.value
+    if (token, least) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token, least] = names, SuffixAutomaton([folded(t) for _, t in own], [k for k, _ in own], least)
+    return _BUILT[token, least]
 
 
 def folded_places(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -175,43 +183,74 @@ def folded_places(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint32), *codes]), np.array(places, np.int64)
 
 
-def without_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, *, least: int = 40, coverage: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(``key``, ``text``, ``removed``) of every document, passages of test items taken out.
+def passages(documents: DataFrame, text: str, items: DataFrame, item: str, item_text: str, *, least: int = 40, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(``digest``, ``other``, ``parts``): of each text that holds passages of test items, the (start, end) of all of them in its folded form.
 
-    A passage as in ``leaks`` goes with all that stands between its letters. Where passages hold
-    more than ``coverage`` of a document's folded characters, the whole text goes and is empty.
-    ``removed`` is the number of characters taken out. Null texts stay null; one row for each row.
+    The passages are those of the text as it stands, of all blocks of items, united; texts are named by 128 bits.
     """
-    kind = documents.schema[key].dataType.simpleString()
-    out = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(0).alias("removed"))
+    texts = documents.select(F.xxhash64(text), F.xxhash64(F.lit("second"), F.col(text)), F.col(text).alias("t")).where(F.length("t") > 0)
+    found = None
     for shipped in _item_blocks(items, item, item_text, least, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             _, a = _automaton(shipped, least)
             for batch in batches:
-                texts, gone = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                for row, t in enumerate(texts):
-                    # looked for on the fast way first
-                    if not t or not a.matches(folded(t)):
-                        continue
-                    codes, places = folded_places(t)
-                    hit = np.zeros(len(codes), bool)
-                    for _, end, length in a.matches(codes):
-                        hit[end - length : end] = True
-                    if hit.sum() > coverage * len(codes):
-                        kept = ""
-                    else:
-                        edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                        kept, last = "", 0
-                        for b, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                            kept += t[last : places[b]]
-                            last = int(places[e - 1]) + 1
-                        kept += t[last:]
-                    gone[row] += len(t) - len(kept)
-                    texts[row] = kept
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int32())], ["k", "t", "removed"])
-
-        out = out.mapInArrow(run, f"k {kind}, t string, removed int")
+                rows, starts, ends = [], [], []
+                for row, t in enumerate(batch.column(2).to_pylist()):
+                    for start, end in sorted({(end - length, end) for _, end, length in a.matches(folded(t))}):
+                        if rows and rows[-1] == row and start <= ends[-1]:
+                            ends[-1] = max(ends[-1], end)
+                        else:
+                            rows.append(row)
+                            starts.append(start)
+                            ends.append(end)
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["digest", "other", "s", "e"])
+
+        part = texts.mapInArrow(run, "digest long, other long, s int, e int")
+        found = part if found is None else found.unionByName(part)
+    # a text has no more parts than its length over ``least`` for each block
+    return found.distinct().groupBy("digest", "other").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("parts"))
+
+
+def without_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, *, least: int = 40, coverage: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(``key``, ``text``, ``removed``) of every document, passages of test items taken out.
+
+    A passage as in ``leaks`` goes with all that stands between its letters. The passages of all
+    items are looked for in the text as it stands, united, and taken out once, so that the blocks of
+    items play no part. Where they hold more than ``coverage`` of a document's folded characters, the
+    whole text goes and is empty. ``removed`` is the number of characters taken out. Null texts stay
+    null; one row for each row.
+    """
+    found = cut(passages(documents, text, items, item, item_text, least=least, block_chars=block_chars))
+    kind = documents.schema[key].dataType.simpleString()
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("digest"), F.xxhash64(F.lit("second"), F.col(text)).alias("other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, gone = batch.column(1).to_pylist(), [0] * len(batch)
+            for row, (t, parts) in enumerate(zip(texts, batch.column(2).to_pylist(), strict=True)):
+                if not t or not parts:
+                    continue
+                codes, places = folded_places(t)
+                hit = np.zeros(len(codes), bool)
+                for x in parts:
+                    hit[x["s"] : x["e"]] = True
+                if hit.sum() > coverage * len(codes):
+                    kept = ""
+                else:
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+                    kept, last = "", 0
+                    for b, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                        kept += t[last : places[b]]
+                        last = int(places[e - 1]) + 1
+                    kept += t[last:]
+                gone[row] = len(t) - len(kept)
+                texts[row] = kept
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int32())], ["k", "t", "removed"])
+
+    # the findings are written and of known size: Spark sends them to the texts only if they are small enough for that
+    out = rows.join(found, ["digest", "other"], "left").select("k", "t", "parts").mapInArrow(run, f"k {kind}, t string, removed int")
     return out.select(F.col("k").alias(key), F.col("t").alias("text"), "removed")
 
 

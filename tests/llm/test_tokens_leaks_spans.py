@@ -95,6 +95,26 @@ def test_leaks_are_taken_out(spark):
     assert leaks(clean, "doc_id", "text", q, "item_id", "text").collect() == []
 
 
+def test_blocks_of_items_play_no_part(spark):
+    r = random.Random(5)
+    letters = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    items = [letters(80) for _ in range(8)]
+    # overlapping passages of two items, several of one document, copies, and one that is passages for the most part
+    docs = [letters(90) + a[:60] + b[-55:] + letters(300) for a, b in zip(items, items[1:], strict=False)]
+    docs += [letters(200) + a[10:70] + a[20:75] + letters(200) for a in items] + [items[0] + items[1] + letters(50), "", None, docs[0]]
+    joint = letters(30)
+    items += [letters(30) + joint, joint + letters(30)]
+    docs += [letters(400) + items[-2] + items[-1][30:] + letters(60)]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    q = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    results = [sorted((x.doc_id, x.text, x.removed) for x in without_leaks(d, "doc_id", "text", q, "item_id", "text", block_chars=c).collect()) for c in (100_000, 500, 90)]
+    assert results[0] == results[1] == results[2]
+    assert [x[0] for x in results[0]] == list(range(len(docs)))
+    by = {x[0]: x for x in results[0]}
+    # the overlap of two items goes as one passage
+    assert by[len(docs) - 1][2] == 90
+
+
 def test_folded_places():
     for t in ["e\u0301a", "ﬁn ㎏", "\u1100\u1161x", "资 本", "İ"]:
         codes, places = folded_places(t)

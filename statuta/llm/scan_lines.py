@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-TITLE, BODY, RUNNING, NUMBER = range(4)
-STATES = 4
+#: ``BODY`` is a line of the body whose paragraph goes on in the next one, ``BREAK`` one that ends its paragraph.
+TITLE, BODY, RUNNING, NUMBER, BREAK = range(5)
+STATES = 5
 
 # Letters that stand for digits in misread numbers.
 DIGIT_LOOKS = str.maketrans("lIiOoSBZ", "11100582")
@@ -20,6 +26,14 @@ _NUMBER = re.compile(
 _END = re.compile(r"[。；！？;.!?：:，,、）)”\"]$")
 _SENTENCE = re.compile(r"[。；;，,、：:.!?！？]$")
 _PUNCT = re.compile(r"[。；，、！？,;!?：]")
+# Marks that divide a word at a line's end.
+MARKS = "-‐‑–—¬­"
+DIVIDED = re.compile(rf"([A-Za-z0-9]*[A-Za-z])([{MARKS}])$")
+STARTS = re.compile(r"([A-Za-z0-9]+)")
+_OPENS = re.compile(r"第[零一二三四五六七八九十百千万\d]+[章节条]|(?:Section|Article|Chapter)\s+\d+|[（(][一二三四五六七八九十]+[）)]")
+_CLOSES = re.compile(r"[。！？.!?]\s*$")
+#: Marks that fill a line beside a page's number.
+_FILL = re.compile(r"([-—–·.~ ])\1{3,}")
 _NUMBER_TAIL = re.compile(r"[0-9０-９lSOB]$")
 _NUMBER_HEAD = re.compile(r"^[.0-9０-９%]")
 
@@ -45,6 +59,8 @@ def roman_value(s: str) -> int:
 
 def page_number(line: str) -> tuple[str, int] | None:
     """Style and value of a line that looks like a page's number and nothing else."""
+    if len(line) > 24:
+        line = _FILL.sub(r"\1", line)
     if len(line) > 24 or not (m := _NUMBER.match(line)):
         return None
     n = m["n"]
@@ -82,15 +98,22 @@ def same_text(a: Counter, b: Counter) -> bool:
     return both >= 0.45 * (na + nb - both)
 
 
+def written(pages: list[list[str]]) -> tuple[list[tuple[int, int]], list[str]]:
+    """(page, line) and text of each line that isn't blank."""
+    where = [(p, i) for p, ls in enumerate(pages) for i, x in enumerate(ls) if x.strip()]
+    return where, [pages[p][i].strip() for p, i in where]
+
+
 def observations(pages: list[list[str]], title: str) -> tuple[list[tuple[int, int]], list[str], np.ndarray]:
     """(page, line) and text of each line that isn't blank, and its observed symbol.
 
     A symbol holds whether the line looks like a page's number and goes on the file's numbering,
     whether it is like the title or repeats in the file, whether it is shorter than a line of the
-    body without an end, and where on its page it stands (next to a page's number counts as an edge).
+    body without an end, and where on its page it stands (next to a page's number counts as an edge);
+    further whether it ends with a sentence, at the width of the body or before, whether the next line
+    that may be one of the body opens a section, and whether that line goes on a word divided by a mark.
     """
-    where = [(p, i) for p, ls in enumerate(pages) for i, x in enumerate(ls) if x.strip()]
-    lines = [pages[p][i].strip() for p, i in where]
+    where, lines = written(pages)
     n = len(lines)
     if not n:
         return where, lines, np.zeros(0, np.int64)
@@ -168,24 +191,58 @@ def observations(pages: list[list[str]], title: str) -> tuple[list[tuple[int, in
     down = bottom | before
     edge = np.where(up, 1, np.where(down, 2, 0))
     edge[(np.arange(n) == 0) | ((np.arange(n) == 1) & strong[0])] = 3
-    return where, lines, ((numeric * 3 + like) * 4 + edge) * 4 + short * 2 + punct
+    closes = np.array([bool(_CLOSES.search(x)) for x in lines])
+    end = np.where(closes, np.where(size < 0.75 * width, 2, 1), 0)
+    opens, divided = np.zeros(n, bool), np.zeros(n, bool)
+    following = ""
+    for i in range(n - 1, -1, -1):
+        if following:
+            opens[i] = bool(_OPENS.match(following))
+            divided[i] = divides(lines[i], following) is not None
+        if not numeric[i] and not like[i]:
+            following = lines[i]
+    layout = ((numeric * 3 + like) * 4 + edge) * 4 + short * 2 + punct
+    return where, lines, ((layout * 3 + end) * 2 + opens) * 2 + divided
+
 
+def divides(line: str, following: str) -> tuple[str, str, str] | None:
+    """What stands before and behind a mark that divides a word at the end of ``line``, and the mark."""
+    if line[-1] in MARKS and following[0].islower() and (m := DIVIDED.search(line)) and (s := STARTS.match(following)):
+        return m[1], s[1], m[2]
+    return None
 
-SYMBOLS = 3 * 3 * 4 * 4
+
+LAYOUTS, TAILS = 3 * 3 * 4 * 4, 3 * 2 * 2
+SYMBOLS = LAYOUTS * TAILS
+#: Share that the first guess keeps in the model, and the number of lines of each state that it counts for besides.
+KEPT, KEPT_LINES = 0.5, 1000.0
 
 
 def first_guess() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, transition and emission probabilities from what the features mean; training goes on from here."""
-    start = np.array([0.85, 0.02, 0.03, 0.10])
-    move = np.array([[0.001, 0.95, 0.02, 0.029], [0.0005, 0.92, 0.04, 0.0395], [0.0005, 0.6, 0.05, 0.3495], [0.2, 0.5, 0.28, 0.02]])
-    emit = np.zeros((STATES, SYMBOLS))
-    for s in range(SYMBOLS):
+    start = np.array([0.85, 0.019, 0.03, 0.10, 0.001])
+    # after a line of the body one of five ends its paragraph
+    into = lambda body: [body * 0.8, body * 0.2]
+    move = np.zeros((STATES, STATES))
+    for s, (title, body, running, number) in {TITLE: (0.001, 0.95, 0.02, 0.029), BODY: (0.0005, 0.92, 0.04, 0.0395), RUNNING: (0.0005, 0.6, 0.05, 0.3495), NUMBER: (0.2, 0.5, 0.28, 0.02), BREAK: (0.0005, 0.92, 0.04, 0.0395)}.items():
+        move[s, [TITLE, BODY, BREAK, RUNNING, NUMBER]] = [title, *into(body), running, number]
+    emit = np.zeros((STATES, LAYOUTS))
+    for s in range(LAYOUTS):
         numeric, like, edge, short, punct = s // 48, s // 16 % 3, s // 4 % 4, s // 2 % 2, s % 2
         emit[TITLE, s] = (0.9 if edge == 3 else 0.01) * (0.9 if like == 1 else 0.1) * (0.02 if numeric else 1) * (0.05 if punct else 1)
         emit[BODY, s] = (1, 0.05, 0.001)[numeric] * (0.0005 if like else 1) * (0.03 if short and not punct else 1) * (0.5 if edge else 1)
         emit[RUNNING, s] = (1.0 if edge in (1, 2) else 0.4 if like else 0.02) * (0.02 if numeric else 1) * (0.03, 1.0, 1.0)[like] * (1.0 if short else 0.2) * (0.1 if punct else 1) * (0.02 if edge == 3 else 1)
         emit[NUMBER, s] = (0.00001, 0.02, 1)[numeric] * (1.0 if edge else 0.2) * (0.1 if like else 1)
-    return start, move, emit / emit.sum(1, keepdims=True)
+    emit[BREAK] = emit[BODY]
+    emit /= emit.sum(1, keepdims=True)
+    tail = np.zeros((STATES, TAILS))
+    for t in range(TAILS):
+        end, opens, divided = t // 4, t // 2 % 2, t % 2
+        tail[BODY, t] = (0.9, 0.09, 0.01)[end] * (0.998, 0.002)[opens] * (0.97, 0.03)[divided]
+        tail[BREAK, t] = (0.05, 0.45, 0.5)[end] * (0.3, 0.7)[opens] * (0.9998, 0.0002)[divided]
+    # what a line ends with tells the lines of the body apart, and nothing about the others
+    tail[[TITLE, RUNNING, NUMBER]] = 0.8 * tail[BODY] + 0.2 * tail[BREAK]
+    return start, move, (emit[:, :, None] * tail[:, None, :]).reshape(STATES, SYMBOLS)
 
 
 def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,43 +253,77 @@ def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def trained(seqs: list[np.ndarray], rounds: int = 5, keep: float = 20000.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The model after ``rounds`` of expectation maximisation over ``seqs``; the first guess weighs as much as ``keep`` lines a state."""
-    start, move, emit = first_guess()
-    first = emit.copy(), move.copy()
-    seqs = [s for s in seqs if len(s)]
-    if not seqs:
-        return start, move, emit
-    obs, sizes = _padded(seqs)
-    n, most = obs.shape
-    live = np.arange(most)[None, :] < sizes[:, None]
-    for _ in range(rounds):
-        e = np.where(live[..., None], emit.T[obs], 1.0)
-        a, scale = np.zeros((n, most, STATES)), np.ones((n, most))
+def expected(seqs: list[np.ndarray], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """How often the model expects each symbol in each state and each move between states in ``seqs``, as one flat array."""
+    start, move, emit = model
+    counts, moves = np.zeros((SYMBOLS, STATES)), np.zeros((STATES, STATES))
+    seqs = sorted((s for s in seqs if len(s)), key=len, reverse=True)
+    for first in range(0, len(seqs), 512):
+        obs, sizes = _padded(seqs[first : first + 512])
+        n, most = obs.shape
+        live = [int((sizes > t).sum()) for t in range(most)]
+        e = emit.T[obs]
+        a = np.zeros((n, most, STATES))
         now = start * e[:, 0]
-        for t in range(most):
-            if t:
-                now = np.where(live[:, t, None], (a[:, t - 1] @ move) * e[:, t], a[:, t - 1])
-            scale[:, t] = now.sum(1)
-            a[:, t] = now / scale[:, t, None]
+        a[:, 0] = now / now.sum(1, keepdims=True)
+        for t in range(1, most):
+            m = live[t]
+            now = (a[:m, t - 1] @ move) * e[:m, t]
+            a[:m, t] = now / now.sum(1, keepdims=True)
         back = np.ones((n, STATES))
-        counts, moves = np.zeros((SYMBOLS, STATES)), np.zeros((STATES, STATES))
         for t in range(most - 1, -1, -1):
-            here = a[:, t] * back
-            here = np.where(live[:, t, None], here / here.sum(1, keepdims=True), 0)
-            np.add.at(counts, obs[:, t], here)
+            m = live[t]
+            here = a[:m, t] * back[:m]
+            a[:m, t] = here / here.sum(1, keepdims=True)
             if t:
-                x = e[:, t] * back
-                pair = a[:, t - 1, :, None] * move[None] * x[:, None, :]
-                pair = np.where(live[:, t, None, None], pair / pair.sum((1, 2), keepdims=True), 0)
-                moves += pair.sum(0)
+                x = e[:m, t] * back[:m]
+                # the forward part of t - 1 has not been put right yet
+                pair = a[:m, t - 1, :, None] * move[None] * x[:, None, :]
+                moves += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
                 step = x @ move.T
-                back = np.where(live[:, t, None], step / step.sum(1, keepdims=True), 1.0)
-        emit = counts.T + keep * first[0]
-        emit /= emit.sum(1, keepdims=True)
-        move = moves + keep * first[1]
-        move /= move.sum(1, keepdims=True)
-    return start, move, emit
+                back[:m] = step / step.sum(1, keepdims=True)
+        inside = np.arange(most)[None, :] < sizes[:, None]
+        at = obs[inside]
+        for y in range(STATES):
+            counts[:, y] += np.bincount(at, a[:, :, y][inside], SYMBOLS)
+    return np.concatenate([counts.ravel(), moves.ravel()])
+
+
+def maximised(sums: np.ndarray, first: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model that the expected counts give; the first guess counts for ``KEPT`` of all and ``KEPT_LINES`` lines a state."""
+    counts, moves = sums[: SYMBOLS * STATES].reshape(SYMBOLS, STATES).T, sums[SYMBOLS * STATES :].reshape(STATES, STATES)
+    mixed = lambda c, f: (c * (1 - KEPT) + f * (KEPT * c.sum(1, keepdims=True) + KEPT_LINES)) / (c.sum(1, keepdims=True) + KEPT_LINES)
+    return first[0], mixed(moves, first[1]), mixed(counts, first[2])
+
+
+def trained(seqs: list[np.ndarray], rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model after ``rounds`` of expectation maximisation over ``seqs``."""
+    first = model = first_guess()
+    for _ in range(rounds):
+        model = maximised(expected(seqs, model), first)
+    return model
+
+
+def trained_on(symbols: DataFrame, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``trained``, of the sequences in the column ``symbols`` (arrays): the tasks sum what they expect, only the sums reach the driver."""
+    first = model = first_guess()
+    for _ in range(rounds):
+
+        def sums(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            total = np.zeros(SYMBOLS * STATES + STATES * STATES)
+            for batch in batches:
+                column = batch.column(0)
+                total += expected(np.split(column.flatten().to_numpy().astype(np.int64), np.cumsum(pc.list_value_length(column).to_numpy())[:-1]) if len(column) else [], model)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["i", "n"])
+
+        # at most one row for each symbol and state
+        rows = symbols.select("symbols").mapInArrow(sums, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()
+        total = np.zeros(SYMBOLS * STATES + STATES * STATES)
+        for r in rows:
+            total[r.i] = round(r.n, 3)
+        model = maximised(total, first)
+    return model
 
 
 def labelled(seqs: list[np.ndarray], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray]:

@@ -4,24 +4,23 @@ from __future__ import annotations
 
 import bisect
 import marshal
+import os
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from statuta.llm.scan_lines import BODY, DIGIT_LOOKS, NUMBER, RUNNING, TITLE, labelled, observations, trained
+from statuta.llm.scan_lines import BODY, BREAK, DIGIT_LOOKS, MARKS, NUMBER, RUNNING, TITLE, divides, labelled, observations, trained_on, written
 from statuta.session import cut, small_enough
 
-# Marks that divide a word at a line's end.
-MARKS = "-‐‑–—¬­"
-_DIVIDED = re.compile(rf"([A-Za-z0-9]*[A-Za-z])([{MARKS}])$")
-_STARTS = re.compile(r"([A-Za-z0-9]+)")
 _WORD = re.compile(r"[A-Za-z0-9]*[a-z][A-Za-z0-9]*")
 _COMPOUND = re.compile(r"[A-Za-z]+-[a-z]+")
 # Letters that stand for digits within a number.
@@ -34,12 +33,11 @@ TIMES = 8
 USUAL, LEAST_MASS = 20, 2e-4
 #: Different surroundings, or words, in which a confusion must be met before it counts as one.
 SEEN = 3
-#: Letters of a word that is judged; in words of one letter every letter would be off by one.
+#: Letters of a word that is judged; in words of one letter every letter would be off by one. Words of more than the second meet by their ends.
 LEAST_WORD, MOST_WORD = 2, 40
 #: How often a word must occur to be a usual one, and how many times as often as one that is misread for it.
 OFTEN = 15
-#: Files of which the line model is trained; all files are labelled.
-SAMPLE = 300
+_LATIN, _IDEOGRAPH = re.compile(r"[A-Za-z]"), re.compile(r"[㐀-鿿豈-﫿]")
 #: Context counts that a task gathers before it adds them up.
 HELD = 6_000_000
 
@@ -53,24 +51,27 @@ def _pages(value: list | None) -> tuple[list[int], list[list[str]]]:
 
 
 class Body:
-    """The body of a file as one text: where each of its lines starts, and which words its line ends divide."""
+    """The body of a file as one text: where each of its lines starts, which lines end a paragraph, and which words line ends divide."""
 
     def __init__(self, pages: list[int], where: list[tuple[int, int]], lines: list[str], states: list[int]):
-        own = [i for i, y in enumerate(states) if y in (BODY, TITLE)]
+        own = [i for i, y in enumerate(states) if y in (BODY, BREAK, TITLE)]
         texts = [lines[i] for i in own]
         self.pages, self.numbers = [pages[where[i][0]] for i in own], [where[i][1] + 1 for i in own]
         #: the title that opens the file is part of the text, but no line to look for noise in
         self.titles = [k for k, i in enumerate(own) if states[i] == TITLE]
-        whole = "".join(texts[:200])
-        western = sum(map(whole.count, "aeinorst")) > 0.2 * len(whole)
+        #: lines that end their paragraph
+        self.breaks = [k for k, i in enumerate(own) if states[i] == BREAK]
+        # lines that meet are joined with a blank where more letters than ideographs stand in them
+        western = [len(_LATIN.findall(t)) - len(_IDEOGRAPH.findall(t)) for t in texts]
         parts, starts, at = [], [], 0
         #: line, what stands before and behind the mark, and the mark
         self.divided: list[tuple[int, str, str, str]] = []
         for i, t in enumerate(texts):
-            if t[-1] in MARKS and i + 1 < len(texts) and texts[i + 1][0].islower() and i not in self.titles and (m := _DIVIDED.search(t)) and (s := _STARTS.match(texts[i + 1])):
-                self.divided.append((i, m[1], s[1], m[2]))
+            following = texts[i + 1] if i + 1 < len(texts) else ""
+            if following and states[own[i]] == BODY and (d := divides(t, following)):
+                self.divided.append((i, *d))
                 t = t[:-1]
-            elif western:
+            elif following and western[i] + western[i + 1] > 0:
                 t += " "
             starts.append(at)
             parts.append(t)
@@ -82,12 +83,12 @@ class Body:
         return bisect.bisect_right(self.starts, place) - 1
 
     def packed(self) -> bytes:
-        return zlib.compress(marshal.dumps((self.text, self.starts, self.pages, self.numbers, self.titles)), 1)
+        return zlib.compress(marshal.dumps((self.text, self.starts, self.pages, self.numbers, self.titles, self.breaks)), 1)
 
     @classmethod
     def unpacked(cls, data: bytes) -> Body:
         own = cls.__new__(cls)
-        own.text, own.starts, own.pages, own.numbers, own.titles = marshal.loads(zlib.decompress(data))
+        own.text, own.starts, own.pages, own.numbers, own.titles, own.breaks = marshal.loads(zlib.decompress(data))
         own.divided = []
         return own
 
@@ -96,7 +97,7 @@ def _table(columns: dict[str, list | np.ndarray], n: int) -> list[pa.Array]:
     return [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _FINDINGS]
 
 
-def findings(files: DataFrame, key: str, title: str, pages: str, *, sample: int = SAMPLE) -> DataFrame:
+def findings(files: DataFrame, key: str, title: str, pages: str) -> DataFrame:
     """One reading of all files: their bodies, the noise that a file shows by itself, and counts for the rest.
 
     Rows are of four kinds. ``body``: the packed body of the file ``key``. ``noise``: a line labelled
@@ -105,19 +106,19 @@ def findings(files: DataFrame, key: str, title: str, pages: str, *, sample: int
     how often a word stands in the bodies of one task. ``k``, ``c`` and ``n``: how often character
     ``c`` stands in surroundings ``k`` in the bodies of one task.
 
-    The hidden Markov model of the lines is trained on at most ``sample`` files, chosen by the hash
-    of their keys, and labels every line of every file.
+    The hidden Markov model of the lines is trained on the lines of all files, which then are labelled by it.
     """
-    rows = files.select(F.col(key), F.col(title).cast("string"), F.col(pages)).where(F.col(key).isNotNull())
-    chosen = rows.select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample)
+    kind = files.schema[key].dataType.simpleString()
+    page = "array<struct<page_num:int,text:string>>"
+    rows = files.select(F.col(key).alias("k"), F.col(title).cast("string"), F.col(pages).cast(page).alias("p")).where(F.col("k").isNotNull())
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seqs = [observations(_pages(p)[1], t or "")[2] for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([s.astype(np.int16) for s in seqs], pa.list_(pa.int16()))], ["symbols"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.astype(np.int16) for s in seqs], pa.list_(pa.int16()))], ["k", "p", "symbols"])
 
-    taken = rows.join(chosen, key, "left_semi").select(key, title, pages).mapInArrow(symbols, "symbols array<short>").collect()
-    model = trained([np.array(x, np.int64) for x in sorted(r.symbols for r in taken)])
+    seen = cut(rows.mapInArrow(symbols, f"k {kind}, p {page}, symbols array<short>"))
+    model = trained_on(seen)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts: list[np.ndarray] = []
@@ -131,11 +132,9 @@ def findings(files: DataFrame, key: str, title: str, pages: str, *, sample: int
 
         for batch in batches:
             keys, kind = batch.column(0), batch.column(0).type
-            seen = []
-            for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                numbers, own = _pages(p)
-                seen.append((numbers, *observations(own, t or "")))
-            states = [y.tolist() for y in labelled([s[3] for s in seen], model)]
+            seqs = [np.array(x or [], np.int64) for x in batch.column(2).to_pylist()]
+            states = [y.tolist() for y in labelled(seqs, model)]
+            files = [(numbers, *written(own)) for numbers, own in map(_pages, batch.column(1).to_pylist())]
             bodies, owner = [], []
             out: dict[str, list] = {x: [] for x in ("noise", "page", "line", "place", "w")}
 
@@ -144,7 +143,7 @@ def findings(files: DataFrame, key: str, title: str, pages: str, *, sample: int
                 for col, v in zip(out.values(), values, strict=True):  # noqa: B023
                     col.append(v)
 
-            for row, ((numbers, where, lines, _), ys) in enumerate(zip(seen, states, strict=True)):
+            for row, ((numbers, where, lines), ys) in enumerate(zip(files, states, strict=True)):
                 for (p, i), y in zip(where, ys, strict=True):
                     if y in (RUNNING, NUMBER):
                         put(row, "page_no" if y == NUMBER else "running", numbers[p], i + 1, None, None)
@@ -169,15 +168,14 @@ def findings(files: DataFrame, key: str, title: str, pages: str, *, sample: int
         if contexts:
             yield from counted()
 
-    kind = files.schema[key].dataType.simpleString()
-    return cut(rows.mapInArrow(read, f"`{key}` {kind}, {FINDINGS}"))
+    return cut(seen.mapInArrow(read, f"`{key}` {kind}, {FINDINGS}"))
 
 
 def context_keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place, surroundings and character of each ideograph: two characters before, one to either side, two behind."""
     c = codes.astype(np.int64)
     c = np.where(c > 0xFFFF, 0xFFFD, c)
-    at = np.flatnonzero((c >= 0x4E00) & (c <= 0x9FFF))
+    at = np.flatnonzero(((c >= 0x3400) & (c <= 0x4DBF)) | ((c >= 0x4E00) & (c <= 0x9FFF)) | ((c >= 0xF900) & (c <= 0xFAFF)))
     p = np.concatenate([[0, 0], c, [0, 0]])
     i = at + 2
     keys = [(0 << 32) | (p[i - 2] << 16) | p[i - 1], (1 << 32) | (p[i - 1] << 16) | p[i + 1], (2 << 32) | (p[i + 1] << 16) | p[i + 2]]
@@ -220,17 +218,45 @@ def confused_characters(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, cut(mine.where(f"c <> y and top >= {TIMES} * n").join(pairs, ["c", "y"]).select("k", "c", "y").unionByName(against))
 
 
+@F.pandas_udf(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("change", T.StringType())]))
+def _one_change(w: pd.Series, right: pd.Series) -> pd.DataFrame:
+    """Where ``w`` has another letter than ``right``, or one of ``PAIRS`` for the other; null if they differ otherwise."""
+
+    def one(a: str, b: str) -> tuple[int | None, str | None]:
+        p = len(os.path.commonprefix([a, b]))
+        q = len(os.path.commonprefix([a[p:][::-1], b[p:][::-1]]))
+        x, y = a[p : len(a) - q], b[p : len(b) - q]
+        return (p, f"{x}>{y}") if len(x) == len(y) == 1 or (x, y) in PAIRS or (y, x) in PAIRS else (None, None)
+
+    return pd.DataFrame([one(a, b) for a, b in zip(w, right, strict=True)], columns=["at", "change"])
+
+
+def _confused_long_words(known: DataFrame) -> DataFrame:
+    """(``w``, ``right``, ``at``, ``change``, ``top``) as in ``confused_words``, for long words, without a form for each of their letters.
+
+    A change of one place leaves the first or the last third as it is, by which rare and frequent words meet.
+    """
+    third = lambda n: F.floor(n / 3).cast("int")
+    ends = lambda n: F.array(F.struct(F.lit("l").alias("side"), F.substring("w", F.lit(1), n).alias("part")), F.struct(F.lit("r").alias("side"), F.substring("w", -n, n).alias("part")))
+    size = F.length("w")
+    usual = known.where(F.col("n") >= OFTEN).select(F.col("w").alias("right"), F.col("n").alias("top"), F.explode(ends(third(size))).alias("e"))
+    rare = known.select("w", "n", F.explode(F.array_distinct(F.concat(*[ends(third(size + d)) for d in (-1, 0, 1)]))).alias("e"))
+    met = rare.join(usual, "e").where(f"right <> w and top >= {OFTEN} * n and abs(length(w) - length(right)) <= 1").select("w", "right", "top").distinct()
+    return met.withColumn("x", _one_change("w", "right")).where("x.change is not null").select("w", "right", "x.at", "x.change", "top")
+
+
 def confused_words(words: DataFrame, divided: DataFrame) -> DataFrame:
     """(``w``, ``right``, ``at``): rare words, the frequent word each stands for, and where they differ first.
 
     Words meet through what is left when one letter is blotted out, or when a pair of letters is
-    read as one; the change must be met in ``SEEN`` different words. Words of one letter or more
-    than ``MOST_WORD`` are not judged, and short numbers with a letter in them are left to the numbers.
+    read as one; the change must be met in ``SEEN`` different words. Words of one letter are not
+    judged, and short numbers with a letter in them are left to the numbers.
     """
     # words that line ends divide may be misread, but tell nothing about what is usual
     more = divided.select(F.lower(F.regexp_replace("w", f"[{MARKS}]", "")).alias("w"), F.lit(0).cast("long").alias("n"))
-    known = words.unionByName(more).groupBy("w").agg(F.greatest(F.lit(1), F.sum("n")).alias("n")).where(F.length("w").between(LEAST_WORD, MOST_WORD) & ~F.col("w").contains("-"))
-    known = known.where("length(w) > 3 or not w rlike '^[lio]*[0-9][0-9lio]*$'")
+    known = words.unionByName(more).groupBy("w").agg(F.greatest(F.lit(1), F.sum("n")).alias("n")).where((F.length("w") >= LEAST_WORD) & ~F.col("w").contains("-"))
+    longer = _confused_long_words(known.where(F.length("w") > MOST_WORD))
+    known = known.where(F.length("w") <= MOST_WORD).where("length(w) > 3 or not w rlike '^[lio]*[0-9][0-9lio]*$'")
 
     def changed(i: Column, size: int, put: str) -> Column:
         return F.concat(F.substring("w", F.lit(1), i - 1), F.lit(put), F.substring("w", i + size, F.lit(64)))
@@ -252,7 +278,7 @@ def confused_words(words: DataFrame, divided: DataFrame) -> DataFrame:
     met = forms.withColumn("b", best).where(f"not right and b is not null and b.w <> w and b.n >= {OFTEN} * n")
     change = F.when(F.contains("form", F.lit("*")), F.concat("letter", F.lit(">"), F.col("b.letter"))).otherwise(F.col("b.letter"))
     both = met.select("w", F.col("b.w").alias("right"), F.col("b.at").alias("at"), change.alias("change"), F.col("b.n").alias("top"))
-    both = cut(both)
+    both = cut(both.unionByName(longer))
     common = both.groupBy("change").agg(F.count_distinct("w").alias("m")).where(f"m >= {SEEN}")
     found = both.join(common, "change")
     return found.groupBy("w").agg(F.max_by(F.struct("right", "at"), F.struct("m", "top", "right")).alias("b")).select("w", "b.right", "b.at")
@@ -314,7 +340,7 @@ HINTS_AT_MOST = 500_000
 WORDS_AT_MOST = 200_000
 
 
-def scan_noise(files: DataFrame, key: str, title: str, pages: str, *, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+def scan_noise(files: DataFrame, key: str, title: str, pages: str) -> tuple[DataFrame, DataFrame]:
     """Noise of scanned files, and their bodies (``key``, packed ``body``) that it was found in.
 
     First result: ``key``, ``page``, ``line``, ``noise`` and for ``misread`` and ``broken`` also
@@ -327,7 +353,7 @@ def scan_noise(files: DataFrame, key: str, title: str, pages: str, *, sample: in
     comes twice counts twice, also under one key; other columns are ignored. Statistics of
     characters and words are taken over all bodies; the order of the files plays no part.
     """
-    read = findings(files, key, title, pages, sample=sample)
+    read = findings(files, key, title, pages)
     bodies = read.where("body is not null").select(key, "body")
     pairs, shown = confused_characters(read.where("k is not null").select("k", "c", "n"))
     # no more entries than there are ideographs
@@ -362,20 +388,11 @@ def scan_noise(files: DataFrame, key: str, title: str, pages: str, *, sample: in
     return out, bodies
 
 
-_OPENS = re.compile(r"第[零一二三四五六七八九十百千万\d]+[章节条]|(?:Section|Article|Chapter)\s+\d+|[（(][一二三四五六七八九十]+[）)]")
-_CLOSES = re.compile(r"[。！？.!?]\s*$")
-
-
 def repaired(body: Body, repairs: list[tuple[int, str]]) -> list[str]:
     """The paragraphs of a body, in reading order, with the characters and words at the given places put right."""
     text, starts = body.text, [*body.starts, len(body.text)]
-    sizes = [b - a for a, b in zip(starts, starts[1:], strict=False)]
-    width = sorted(sizes)[len(sizes) // 2] if sizes else 0
-    cuts = []
-    for i in range(len(sizes)):
-        line, last = text[starts[i] : starts[i + 1]], text[starts[i - 1] : starts[i]] if i else ""
-        if i == 0 or i - 1 in body.titles or i in body.titles or _OPENS.match(line) or (_CLOSES.search(last) and len(last) < 0.75 * width):
-            cuts.append(starts[i])
+    ends = {*body.titles, *body.breaks}
+    cuts = [starts[i] for i in range(len(body.starts)) if i == 0 or i in body.titles or i - 1 in ends]
     edges = [*cuts, len(text)]
     by_place = dict(repairs)
     out = []
@@ -390,14 +407,14 @@ def repaired(body: Body, repairs: list[tuple[int, str]]) -> list[str]:
     return out
 
 
-def paragraphs(files: DataFrame, key: str, title: str, pages: str, *, sample: int = SAMPLE) -> DataFrame:
+def paragraphs(files: DataFrame, key: str, title: str, pages: str) -> DataFrame:
     """(``key``, ``paragraph``, ``text``): the continuous text of each file, noise repaired.
 
     Headers, footers and page numbers are left out, divided words joined, misread characters put
     right, and lines put together into paragraphs, which go on over pages. The keys must be unique.
     Files without body text give no rows.
     """
-    noise, bodies = scan_noise(files, key, title, pages, sample=sample)
+    noise, bodies = scan_noise(files, key, title, pages)
     fixes = noise.where("noise = 'misread' and repair is not null").select(key, F.struct("place", "repair").alias("r")).distinct().groupBy(key).agg(F.collect_list("r").alias("repairs"))
     kind = files.schema[key].dataType.simpleString()
 

@@ -118,3 +118,62 @@ def test_paragraphs(spark):
     assert out[0] == "测试规定文本办法" and out[1].replace(" ", "") == "第一条Thereconciliationisdue." and out[2].startswith("第二条")
     first = [x.text for x in paragraphs(df, "parsed_id", "title", "pages").where("parsed_id = 1").collect()]
     assert first and not any("征求意见" in x or "- 8 -" in x for x in first)
+
+
+def test_planted_paragraphs_come_back(spark):
+    """Paragraphs of many sentences, set in lines of one width over pages with headers and numbers, are found again."""
+    planted = {}
+    rows = []
+    for i in range(60):
+        r = random.Random(100 + i)
+        whole = [f"第{'一二三四五六七八九'[k]}条 " + "。".join("，".join(r.choice(WORDS) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(1, 5))) + "。" for k in range(9)]
+        planted[i] = whole
+        lines = [line for p in whole for line in (p[a : a + 26] for a in range(0, len(p), 26))]
+        pages = [lines[a : a + 14] for a in range(0, len(lines), 14)]
+        text = lambda p, own: "\n".join([*(["测试规定文本办法（征求意见）"] if p else ["测试规定文本办法"]), *own, f"- {p + 3} -"])
+        rows.append((i, "测试规定文本办法_20200101", [(p + 1, text(p, own)) for p, own in enumerate(pages)], ""))
+    df = spark.createDataFrame(rows, PAGES)
+    got = {}
+    for x in paragraphs(df, "parsed_id", "title", "pages").orderBy("parsed_id", "paragraph").collect():
+        got.setdefault(x.parsed_id, []).append(x.text)
+    found = sum(len(set(planted[i]) & set(got[i])) for i in planted)
+    assert found >= 0.97 * sum(map(len, planted.values()))
+
+
+def test_file_in_two_languages(spark):
+    rows = [file(i) for i in range(30)]
+    r = random.Random(4)
+    chinese = [line for _ in range(25) for line in body(r, 10)]
+    english = ["The following part of this rule is set in another", "language and goes on over several lines, which", "must be joined with blanks between their words."]
+    rows.append((77, "测试规定文本办法", [(1, "\n".join(["测试规定文本办法", *chinese, *english * 4]))], ""))
+    text = "".join(x.text for x in paragraphs(spark.createDataFrame(rows, PAGES), "parsed_id", "title", "pages").where("parsed_id = 77").collect())
+    assert "in another language and goes" in text and "which must be" in text
+
+
+def test_long_words_are_judged(spark):
+    long = "administrationandsupervisioncommissionofthefinancialsectorabroad"
+    rows = []
+    for i in range(60):
+        lines = body(random.Random(i))
+        lines[2] = f"see {long} the other"
+        rows.append((i, "测试规定文本办法", [(1, "测试规定文本办法\n" + "\n".join(lines))], ""))
+    for i, (a, b) in enumerate([("t", "l"), ("t", "l"), ("t", "l"), ("rn", "m"), ("m", "rn")], 200):
+        at = [k for k in range(len(long)) if long.startswith(a, k)]
+        if not at:
+            continue
+        k = at[i % len(at)]
+        lines = body(random.Random(i))
+        lines[2] = f"see {long[:k] + b + long[k + len(a) :]} the other"
+        rows.append((i, "测试规定文本办法", [(1, "测试规定文本办法\n" + "\n".join(lines))], ""))
+    got = noise(spark, rows)
+    assert {(200, 1, 4, "misread"), (201, 1, 4, "misread"), (202, 1, 4, "misread")} <= got
+    assert not [x for x in got if x[0] < 60]
+
+
+def test_expectation_maximisation_in_tasks(spark):
+    from statuta.llm.scan_lines import trained_on
+
+    seqs = [observations([t.split("\n") for _, t in file(i)[2]], "测试规定文本办法")[2] for i in range(12)]
+    df = spark.createDataFrame([([int(v) for v in x],) for x in seqs] + [([],)], "symbols array<short>").repartition(3)
+    for x, y in zip(trained(seqs), trained_on(df), strict=True):
+        assert np.allclose(x, y, atol=1e-5)

@@ -74,5 +74,21 @@ def test_very_long_value(spark):
 
 def test_forms_and_numbers():
     assert numbered("aba") == ["a", "b", "a2"]
-    assert forms("关于ＡＢ法全文") == ["关于ab法全文", "ab法"]
+    assert forms("关于ＡＢ法全文", None, ["关于"], ["全文"]) == ["关于ab法全文", "ab法"]
+    assert forms("關于ＡＢ", {"關": "关"}, ["关于"]) == ["关于ab", "ab"]
     assert forms("·") == [""]
+
+
+def test_noise_is_learned_from_values(spark):
+    """Foldings and affixes that are in no list, and held-out values that need them."""
+    bases = ["霁坞续贷稽核事务院", "霖堤担保公证局", "朔陵拨备督导中心", "岚野风险稽核厅", "澜坞拆借公证处", "珀渚处置核验署"]
+    entries = [("authority", i, n) for i, n in enumerate(bases)]
+    told = ["续>續", "贷>貸", "担>擔", "风>風", "险>險", "务>務", "处>處"]
+    strange = lambda v: "".join(next((p[2] for p in told if p[0] == c), c) for c in v)
+    # each folding in two names
+    more = [("authority", 10 + i, n) for i, n in enumerate(["漪汀续贷担保局", "汐原风险处置事务署"])]
+    values = [strange(n) for _, _, n in entries + more] + [f"旧{n}" for n in bases[:4]] + [n + "临设" for n in bases[:4]] + ["霖堤坦保公证局", "岚野风险久核厅"]
+    held_out = {"旧" + strange(bases[0]) + "临设": 0, strange("漪汀续贷担保局") + "临设": 10, "旧" + strange("汐原风险处置事务署"): 11}
+    got = mapped(spark, values + list(held_out), entries + more)
+    assert {v: got[v] for v in held_out} == held_out
+    assert all(got[strange(n)] == i for _, i, n in entries + more if strange(n) != n)

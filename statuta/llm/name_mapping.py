@@ -107,9 +107,7 @@ def learned_noise(left: DataFrame, right: DataFrame, least: float = 0.5) -> tupl
     votes = differ.groupBy("d.x", "d.y").agg(F.count("*").alias("n"), F.count_distinct("b").alias("names"))
     votes = votes.withColumn("all", F.sum("n").over(W.partitionBy("x"))).where((F.col("names") >= FOLDED_IN) & (F.col("n") >= ALWAYS * F.col("all")))
     foldings = {r.x: r.y for r in votes.select("x", "y").collect()}
-    a = F.col("a")
-    for x, y in foldings.items():
-        a = F.translate(a, x, y)
+    a = F.translate("a", "".join(foldings), "".join(foldings.values())) if foldings else F.col("a")
     more = met.select("kind", a.alias("a"), "b").where(F.length("a").between(F.length("b") + 1, F.length("b") + LONGEST_AFFIX) & (F.length("b") > 1))
     words = more.select("kind", "b", F.when(F.expr("startswith(a, b)"), F.struct(F.lit("behind").alias("side"), F.expr("substring(a, length(b) + 1)").alias("word"))).when(F.expr("endswith(a, b)"), F.struct(F.lit("before").alias("side"), F.expr("left(a, length(a) - length(b))").alias("word"))).alias("w"))
     words = words.where("w is not null").groupBy("kind", "w").agg(F.count_distinct("b").alias("names")).where(F.col("names") >= AFFIXED_TO)

@@ -39,9 +39,10 @@ def defines(text: Column) -> Column:
     return out
 
 
-def edges(src: DataFrame, dst: DataFrame, links: DataFrame) -> DataFrame:
-    """Links whose two ends exist as nodes (``node``), each once."""
-    return links.join(src.select(F.col("node").alias("src")), "src", "left_semi").join(dst.select(F.col("node").alias("dst")), "dst", "left_semi").distinct()
+def first_each(rows: DataFrame, key: str, most: int, *order: str) -> DataFrame:
+    """The first ``most`` rows of each ``key``."""
+    w = W.partitionBy(key).orderBy(*order)
+    return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
 
 
 def hop(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -56,5 +57,4 @@ def nearest_paths(branches: list[tuple[int, DataFrame]], most: int = 10) -> Data
         b = b.select("src", "dst", F.lit(length).alias("path_length"))
         united = b if united is None else united.unionByName(b)
     best = united.groupBy("src", "dst").agg(F.min("path_length").alias("path_length"))
-    w = W.partitionBy("src").orderBy("path_length", "dst")
-    return best.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+    return first_each(best, "src", most, "path_length", "dst")

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.functions.notation import article_key, clean_date, clean_name, cn_number
-from statuta.functions.text import articles, char_windows, clean_text, first_article, title_authority, title_date, title_law, tokens, without_number
+from statuta.functions.text import articles, char_windows, clean_text, first_article, title_authority, title_date, title_law, without_number
 from statuta.operators.curation import first_of, hash_sample, pending, positions, prompt_blocks, split_in_order, zipped
-from statuta.operators.graph import cited_articles, cited_titles, defines, edges, hop, nearest_paths, relation
+from statuta.operators.graph import cited_articles, cited_titles, defines, first_each, hop, nearest_paths, relation
 from statuta.operators.mining import BODY_PATTERNS, merged, most_common, pattern_counts, tfidf, unknown
 from statuta.operators.splitting import split_documents
 from statuta.plans.general import _DATE, _NAME, _article
-from statuta.plans.retrieval import _ALIASES, _CHUNKS, TOK, _aliases, _chunks, _contained, _own_aliases, _OWN, _strip
+from statuta.plans.retrieval import EVERY, _ALIASES, _CHUNKS, TOK, _aliases, _chunks, _chunk_terms, _contained, _document_index, _heads, _own_aliases, _OWN, _strip
 from statuta.operators.dictionary import contained, resolved
-from statuta.session import spread, table
+from statuta.session import kept, spread, table
+
+#: Chunks that a value, and a query, is related to.
+MOST_RELATED = 10
 
 
 # --- splitting and metadata
@@ -93,96 +97,177 @@ def q_upsert_latest(s: SparkSession, d: str) -> DataFrame:
 # --- graph
 
 
-def _nodes(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    chunks = _chunks(s, d)
-    node = lambda df: df.where("node is not null").distinct()
-    return {
-        "Document": node(chunks.select(clean_name(F.col("law_name")).alias("node"))),
-        "Article": chunks.select(F.col("chunk_id").alias("node")),
-        "Authority": node(table(s, d, "canonical_names").where("kind = 'authority'").select(F.col("full_name").alias("node"))),
-        "Term": node(table(s, d, "canonical_names").where("kind = 'term'").select(F.col("full_name").alias("node"))),
-    }
-
-
-def q_graph_nodes(s: SparkSession, d: str) -> DataFrame:
-    out = None
-    for label, df in _nodes(s, d).items():
-        df = df.select(F.lit(label).alias("label"), "node")
-        out = df if out is None else out.unionByName(df)
-    return out
-
-
 def _articles_by_number(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "chunks").where("trim(chunk_id) <> ''").select(clean_name(F.col("law_name")).alias("law"), article_key(F.col("article_num")).alias("article"), F.col("chunk_id").alias("dst"))
     return rows.dropna().distinct()
 
 
+def _cited(s: SparkSession, d: str) -> DataFrame:
+    """Citations (``src``, ``law``, ``article``, ``relation_type``) of chunks, clean."""
+    refs = table(s, d, "article_refs").select(F.col("chunk_id").alias("src"), clean_name(F.col("target_law")).alias("law"), article_key(F.col("target_article")).alias("article"), "relation_type")
+    return refs.dropna(subset=["src", "law", "article"]).distinct()
+
+
 def _references(s: SparkSession, d: str) -> DataFrame:
     """Chunk to chunk: each reference to an article leads to the chunks of that article of that law."""
-    refs = table(s, d, "article_refs").select(F.col("chunk_id").alias("src"), clean_name(F.col("target_law")).alias("law"), article_key(F.col("target_article")).alias("article"), "relation_type")
-    return refs.dropna(subset=["src", "law", "article"]).distinct().join(_articles_by_number(s, d), ["law", "article"])
+    return _cited(s, d).join(_articles_by_number(s, d), ["law", "article"])
 
 
 def _belongs(s: SparkSession, d: str) -> DataFrame:
-    return _chunks(s, d).select(F.col("chunk_id").alias("src"), clean_name(F.col("law_name")).alias("dst")).dropna()
+    return _heads(s, d).select(F.col("chunk_id").alias("src"), clean_name(F.col("law_name")).alias("dst")).dropna()
 
 
 def _issued(s: SparkSession, d: str) -> DataFrame:
-    rows = resolved(_chunks(s, d).select("law_name", "authority"), _own_aliases(s, d), "authority", "authority")
-    return rows.select(clean_name(F.col("law_name")).alias("src"), F.col("canonical").alias("dst")).dropna().distinct()
+    """Laws and the authorities that stand in the column, source or text of their chunks."""
+    named = _chunk_terms(s, d).where("kind = 'authority'").select(F.col("id").alias("src"), F.col("canonical").alias("authority"))
+    return _belongs(s, d).join(named, "src").select(F.col("dst").alias("src"), F.col("authority").alias("dst")).distinct()
 
 
 def _mentions(s: SparkSession, d: str) -> DataFrame:
-    chunks = _chunks(s, d)
-    found = contained(chunks.select(F.col("chunk_id").alias("id"), "text"), _own_aliases(s, d)).where("kind = 'term'")
-    told = chunks.select(F.col("chunk_id").alias("id"), F.coalesce(defines(F.col("text")), F.lit(False)).alias("defines"))
-    return found.join(told, "id").select(F.col("id").alias("src"), F.col("canonical").alias("dst"), F.when(F.col("defines"), "DEFINES").otherwise("MENTIONS").alias("type"))
+    """Chunk to term; the texts are read only for chunks that have one."""
+    found = _chunk_terms(s, d).where("kind = 'term'").select(F.col("id").alias("src"), F.col("canonical").alias("dst"))
+    named = _heads(s, d).join(found.select(F.col("src").alias("chunk_id")).distinct(), "chunk_id", "left_semi").select("chunk_id", "row_id")
+    told = named.join(table(s, d, "chunks").select("row_id", F.coalesce(defines(F.col("text")), F.lit(False)).alias("defines")), "row_id")
+    return found.join(told.select(F.col("chunk_id").alias("src"), "defines"), "src").select("src", "dst", F.when(F.col("defines"), "DEFINES").otherwise("MENTIONS").alias("type"))
 
 
 def _relates(s: SparkSession, d: str) -> DataFrame:
-    """Law to law, by the references of its chunks, with their kind."""
+    """Law to law, by the references of its chunks, with their kind; also to laws that no chunk belongs to."""
     refs = table(s, d, "article_refs").select(F.col("chunk_id").alias("src"), clean_name(F.col("target_law")).alias("dst"), "relation_type").dropna()
     return refs.join(_belongs(s, d).withColumnsRenamed({"dst": "law"}), "src").where("law <> dst").select(F.col("law").alias("src"), "dst", "relation_type").distinct()
 
 
-def q_graph_edges(s: SparkSession, d: str) -> DataFrame:
-    """Number of edges of each type; both ends of an edge must exist."""
-    nodes = _nodes(s, d)
-    typed = {
-        "BELONGS_TO": edges(nodes["Article"], nodes["Document"], _belongs(s, d)),
-        "REFERENCES": edges(nodes["Article"], nodes["Article"], _references(s, d).select("src", "dst")),
-        "ISSUED_BY": edges(nodes["Document"], nodes["Authority"], _issued(s, d)),
-        "RELATES_TO": edges(nodes["Document"], nodes["Document"], _relates(s, d)),
-    }
-    out = _mentions(s, d).groupBy("type").agg(F.count("*").alias("n"))
-    for name, df in typed.items():
-        out = out.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("type"), "n"))
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    """All edges (``type``, ``src``, ``dst``, ``relation_type``), each once, kept."""
+
+    def make() -> DataFrame:
+        articles = _heads(s, d).select(F.col("chunk_id").alias("src"))
+        plain = lambda df, name: df.select(F.lit(name).alias("type"), "src", "dst", F.lit(None).cast("string").alias("relation_type"))
+        out = plain(_belongs(s, d), "BELONGS_TO").unionByName(plain(_references(s, d).select("src", "dst").distinct().join(articles, "src", "left_semi"), "REFERENCES"))
+        out = out.unionByName(plain(_issued(s, d), "ISSUED_BY")).unionByName(_relates(s, d).select(F.lit("RELATES_TO").alias("type"), "src", "dst", "relation_type"))
+        return out.unionByName(_mentions(s, d).select("type", "src", "dst", F.lit(None).cast("string").alias("relation_type")))
+
+    return kept(s, d, "edges", ("chunks", "article_refs", "canonical_names", "dictionary_candidates"), make)
+
+
+def _edge(s: SparkSession, d: str, *types: str) -> DataFrame:
+    return _edges(s, d).where(F.col("type").isin(*types)).select("src", "dst", "relation_type")
+
+
+def q_graph_nodes(s: SparkSession, d: str) -> DataFrame:
+    """Laws that chunks belong to or relate to, chunks, authorities and terms."""
+    names = table(s, d, "canonical_names")
+    laws = _edge(s, d, "BELONGS_TO").select(F.col("dst").alias("node")).unionByName(_edge(s, d, "RELATES_TO").select(F.col("dst").alias("node")))
+    labelled = lambda df, label: df.select(F.lit(label).alias("label"), "node").where("node is not null").distinct()
+    out = labelled(laws, "Document").unionByName(_heads(s, d).select(F.lit("Article").alias("label"), F.col("chunk_id").alias("node")))
+    for kind, label in (("authority", "Authority"), ("term", "Term")):
+        out = out.unionByName(labelled(names.where(F.col("kind") == kind).select(F.col("full_name").alias("node")), label))
     return out
 
 
+def q_graph_edges(s: SparkSession, d: str) -> DataFrame:
+    """Number of edges of each type."""
+    return _edges(s, d).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def q_graph_edge_rows(s: SparkSession, d: str) -> DataFrame:
+    return _edges(s, d)
+
+
+def _law_neighbours(s: SparkSession, d: str) -> DataFrame:
+    """(``id``, ``other``): each chunk with the first ten chunks of the laws that its own law's references lead to."""
+    member = _heads(s, d).select(F.col("chunk_id").alias("id"), clean_name(F.col("law_name")).alias("law")).where("law is not null")
+    laws = _relates(s, d).select(F.col("src").alias("law"), "dst").distinct()
+    # ten chunks a law are enough for ten of all that it leads to
+    w = W.partitionBy("law").orderBy("other")
+    few = member.select("law", F.col("id").alias("other")).withColumn("n", F.row_number().over(w)).where("n <= 10").drop("n")
+    led = laws.join(few.withColumnRenamed("law", "dst"), "dst").select("law", "other").distinct().withColumn("n", F.row_number().over(w)).where("n <= 10").drop("n")
+    return member.join(led, "law").select("id", "other")
+
+
 def q_related_1hop(s: SparkSession, d: str) -> DataFrame:
     return nearest_paths([(1, _references(s, d))])
 
 
 def q_related_2hop(s: SparkSession, d: str) -> DataFrame:
     """Laws by way of one reference (1), of two, or of an authority that issued both (2)."""
-    direct = _relates(s, d).select("src", "dst").distinct()
-    issued = _issued(s, d)
-    return nearest_paths([(1, direct), (2, hop(direct, direct)), (2, hop(issued, issued.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))])
+    direct = _edge(s, d, "RELATES_TO").select("src", "dst").distinct()
+    issued = _edge(s, d, "ISSUED_BY").select("src", "dst")
+    # of what a law or an authority leads to no more than the first eleven are needed, the start among them: those left out are farther or later
+    few = first_each(issued.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "src", 11, "dst")
+    return nearest_paths([(1, direct), (2, hop(direct, first_each(direct, "src", 11, "dst"))), (2, hop(issued, few))])
+
+
+def _related(s: SparkSession, d: str) -> DataFrame:
+    """(``kind``, ``value``, ``branch``, ``path_length``, ``relation``, ``id``): for each law, term, article number and authority its first ten chunks by each way.
+
+    Each value's list is cut before anything is joined to it, so no hub is spread out.
+    """
+    belongs, references = (_edge(s, d, t).select("src", "dst") for t in ("BELONGS_TO", "REFERENCES"))
+    of_law = first_each(belongs.select(F.col("dst").alias("value"), F.col("src").alias("id")), "value", MOST_RELATED, "id")
+    relates = _edge(s, d, "RELATES_TO")
+    via = relates.join(of_law.withColumnRenamed("value", "dst"), "dst").select(F.col("src").alias("value"), "id", F.concat(F.lit("related_document_"), "relation_type").alias("relation"))
+    term = lambda t: _edge(s, d, t).select(F.col("dst").alias("value"), F.col("src").alias("id"))
+    definer = references.join(_edge(s, d, "DEFINES").select(F.col("src").alias("dst"), F.col("dst").alias("value")), "dst").select("value", F.col("src").alias("id"))
+    number = _heads(s, d).select(F.col("chunk_id").alias("dst"), article_key(F.col("article_num")).alias("value")).dropna()
+    citing = references.join(number, "dst").select("value", F.col("src").alias("id"))
+    issued = _edge(s, d, "ISSUED_BY").join(of_law.withColumnRenamed("value", "src"), "src").select(F.col("dst").alias("value"), "id")
+    ways = [("law", 1, "belongs_to", of_law), ("law", 2, None, via), ("term", 1, "defines", term("DEFINES")), ("term", 1, "mentions", term("MENTIONS")), ("term", 2, "references_term_definer", definer), ("article", 1, "references_article", citing), ("authority", 2, "issued_by_authority", issued)]
+    out = None
+    for branch, (kind, length, name, df) in enumerate(ways):
+        df = df.withColumn("relation", F.lit(name)) if name else df
+        df = first_each(df.select("value", "id", "relation").distinct(), "value", MOST_RELATED, "id", "relation")
+        df = df.select(F.lit(kind).alias("kind"), "value", F.lit(branch).alias("branch"), F.lit(length).alias("path_length"), "relation", "id")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def q_related_articles(s: SparkSession, d: str) -> DataFrame:
+    """Chunks related to what each reference whose id is divisible by 20 names: law, article, and authority and terms of its chunk; the nearest ten."""
+    refs = table(s, d, "article_refs").where(F.col("ref_id") % EVERY == 0).select(F.col("ref_id").alias("qid"), "chunk_id", clean_name(F.col("target_law")).alias("law"), article_key(F.col("target_article")).alias("article"))
+    named = _chunk_terms(s, d).where("kind in ('term', 'authority')").select(F.col("id").alias("chunk_id"), "kind", F.col("canonical").alias("value"))
+    own = refs.select("qid", F.explode(F.array(F.struct(F.lit("law").alias("kind"), F.col("law").alias("value")), F.struct(F.lit("article").alias("kind"), F.col("article").alias("value")))).alias("x")).select("qid", "x.*").where("value is not null")
+    asked = own.unionByName(refs.join(named, "chunk_id").select("qid", "kind", "value")).distinct()
+    found = asked.join(_related(s, d), ["kind", "value"])
+    one = found.groupBy("qid", "id").agg(F.min(F.struct("path_length", "branch", "relation")).alias("x")).select("qid", "id", "x.*")
+    return first_each(one, "qid", MOST_RELATED, "path_length", "branch", "id").select("qid", "id", "path_length", "relation")
 
 
 def q_graph_facts(s: SparkSession, d: str) -> DataFrame:
-    r = _references(s, d).where("relation_type is not null")
-    return r.select(F.format_string("%s %s 《%s》第%s条", "src", "relation_type", "law", "article").alias("fact")).distinct()
+    """Sentences on the edges between laws, of laws and authorities, of articles and terms, and of articles."""
+    law = F.format_string("法规关系: %s --%s--> %s", "src", "relation_type", "dst")
+    issued = F.format_string("发布关系: %s 发布或关联 %s", "dst", "src")
+    told = _heads(s, d).select(F.col("chunk_id").alias("src"), clean_name(F.col("law_name")).alias("law"), article_key(F.col("article_num")).alias("article"))
+    terms = _edge(s, d, "DEFINES", "MENTIONS").join(told, "src").where("law is not null")
+    term = F.format_string("术语关系: %s 出现在 %s 第%s条", "dst", "law", F.coalesce("article", F.lit("未标注条号")))
+    cited = _references(s, d).where("relation_type is not null").select(F.format_string("%s %s 《%s》第%s条", "src", "relation_type", "law", "article").alias("fact"))
+    return _edge(s, d, "RELATES_TO").select(law.alias("fact")).unionByName(_edge(s, d, "ISSUED_BY").select(issued.alias("fact"))).unionByName(terms.select(term.alias("fact"))).unionByName(cited).distinct()
+
+
+def _citing_texts(s: SparkSession, d: str) -> DataFrame:
+    """(``chunk_id``, ``text``): the text of each chunk with its references written behind it, as citations of titles and articles."""
+    refs = table(s, d, "article_refs").where("trim(chunk_id) <> ''").select("chunk_id", F.concat(F.lit("《"), clean_name(F.col("target_law")), F.lit("》"), F.coalesce("target_article", F.lit(""))).alias("c")).dropna()
+    cited = refs.groupBy("chunk_id").agg(F.array_join(F.sort_array(F.collect_set("c")), "；").alias("c"))
+    return _chunks(s, d).join(cited, "chunk_id").select("chunk_id", F.concat_ws("\n", "text", "c").alias("text"))
 
 
 def q_extract_refs(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "documents").select("doc_id", F.explode(cited_articles(F.col("text"))).alias("x"))
-    return x.select("doc_id", "x.law", article_key(F.col("x.article")).alias("article")).distinct()
+    x = _citing_texts(s, d).select("chunk_id", F.explode(cited_articles(F.col("text"))).alias("x"))
+    return x.select("chunk_id", "x.law", article_key(F.col("x.article")).alias("article")).distinct()
 
 
 def q_doc_references(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", F.explode(cited_titles(F.col("text"))).alias("title"))
+    return _citing_texts(s, d).select("chunk_id", F.explode(cited_titles(F.col("text"))).alias("title"))
+
+
+def q_authorities_in_texts(s: SparkSession, d: str) -> DataFrame:
+    """Bodies that each parsed file names: those of the dictionary, and what the patterns match, by its dictionary name where it has one."""
+    files = table(s, d, "parsed_docs").select(F.col("parsed_id").alias("id"), F.concat_ws("\n", "title", "full_text").alias("text"))
+    names = _aliases(s, d).where("kind = 'authority'")
+    known = contained(files, names).select("id", "canonical")
+    matched = files.select("id", F.explode(F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in BODY_PATTERNS])).alias("name")).distinct()
+    told = resolved(matched, names, "name", "authority").select("id", F.coalesce("canonical", "name").alias("canonical"))
+    return known.unionByName(told).distinct().select(F.col("id").alias("parsed_id"), F.col("canonical").alias("authority"))
 
 
 def q_relation_rules(s: SparkSession, d: str) -> DataFrame:
@@ -207,8 +292,8 @@ def q_law_years(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_tfidf(s: SparkSession, d: str) -> DataFrame:
-    documents = spread(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    return tfidf(documents.select("id", tokens(F.col("text")).alias("tokens")))
+    index = _document_index(s, d)
+    return tfidf(index.terms, index.stats()[0])
 
 
 def q_new_terms(s: SparkSession, d: str) -> DataFrame:
@@ -234,7 +319,7 @@ def q_ordered_dedup(s: SparkSession, d: str) -> DataFrame:
 
 def q_resume_pending(s: SparkSession, d: str) -> DataFrame:
     asked = first_of(table(s, d, "search_hits").select("query_text", "hit_id"), "query_text", "hit_id")
-    done = table(s, d, "search_hits").where("hit_rank = 1").select("query_text")
+    done = table(s, d, "search_hits").where("searched_at < timestamp '2023-04-01'").select("query_text")
     return pending(asked, done, "query_text").select("query_text", "hit_id")
 
 
@@ -304,10 +389,31 @@ _DATED = f"dated as (select distinct * from (select {_NAME} law_name, strftime({
 _REFS = f"""art as (select distinct * from (select {_NAME} law, {_article("article_num")} article, chunk_id dst from chunks where trim(chunk_id) <> '') where law is not null and article is not null),
   refs as (select * from (select distinct chunk_id src, {_NAME.replace("law_name", "target_law")} law, {_article("target_article")} article, relation_type from article_refs) join art using (law, article) where src is not null),
   bel as (select chunk_id src, {_NAME} dst from cur where {_NAME} is not null),
-  iss as (select distinct {_NAME} src, canonical dst from cur join own on own.kind = 'authority' and own.alias = lower({_strip("authority")}) where {_NAME} is not null),
+  iss as (select distinct b.dst src, canonical dst from bel b join ct on ct.id = b.src and kind = 'authority'),
   rel as (select distinct b.dst src, {_NAME.replace("law_name", "target_law")} dst, relation_type from article_refs r join bel b on r.chunk_id = b.src where relation_type is not null and {_NAME.replace("law_name", "target_law")} <> b.dst),
-  doc as (select distinct {_NAME} node from cur where {_NAME} is not null)"""
-_G = f"with {_CHUNKS}, {_OWN}, {_REFS}"
+  men as (select ct.id src, canonical dst, case when {_DEF} then 'DEFINES' else 'MENTIONS' end as type from ct join cur on cur.chunk_id = ct.id where kind = 'term'),
+  doc as (select dst node from bel union select dst from rel),
+  ed as (select 'BELONGS_TO' as type, src, dst, null::varchar relation_type from bel
+    union all select 'REFERENCES', src, dst, null from (select distinct src, dst from refs where src in (select chunk_id from cur))
+    union all select 'ISSUED_BY', src, dst, null from iss union all select 'RELATES_TO', src, dst, relation_type from rel union all select type, src, dst, null from men)"""
+_G = f"with {_CHUNKS}, {_ALIASES}, texts as (select chunk_id id, concat_ws(chr(10), source, authority, text) as text from cur), ct as ({_contained('texts', 'aliases')}), {_REFS}"
+
+
+def _ways() -> str:
+    """SQL of the ways from a law, term, article number or authority to chunks."""
+    ways = [
+        ("law", 1, "'belongs_to'", "v, id from lawc"), ("law", 2, "'related_document_' || relation_type", "r.src v, l.id from rel r join lawc l on l.v = r.dst"),
+        ("term", 1, "'defines'", "dst v, src id from men where type = 'DEFINES'"), ("term", 1, "'mentions'", "dst v, src id from men where type = 'MENTIONS'"),
+        ("term", 2, "'references_term_definer'", "m.dst v, e.src id from ed e join men m on m.src = e.dst and m.type = 'DEFINES' where e.type = 'REFERENCES'"),
+        ("article", 1, "'references_article'", f"{_article('article_num')} v, e.src id from ed e join cur on cur.chunk_id = e.dst where e.type = 'REFERENCES' and {_article('article_num')} is not null"),
+        ("authority", 2, "'issued_by_authority'", "i.dst v, l.id from iss i join lawc l on l.v = i.src"),
+    ]
+    each = [f"select '{kind}' kind, v, {b} branch, {n} path_length, relation, id from (select distinct {name} relation, {rest}) qualify row_number() over (partition by v order by id, relation) <= 10" for b, (kind, n, name, rest) in enumerate(ways)]
+    return "lawc as (select dst v, src id from bel qualify row_number() over (partition by dst order by src) <= 10), ways as (" + " union all ".join(each) + ")"
+
+
+_CITING = f"""cit as (select chunk_id, array_to_string(list_sort(list(distinct c)), '；') c from (select chunk_id, '《' || {_NAME.replace("law_name", "target_law")} || '》' || coalesce(target_article, '') c from article_refs where trim(chunk_id) <> '') where c is not null group by 1),
+  citing as (select chunk_id, concat_ws(chr(10), text, c) as text from cur join cit using (chunk_id))"""
 _PATHS = "select src, dst, path_length from (select src, dst, min(path_length) path_length from ({0}) group by all) qualify row_number() over (partition by src order by path_length, dst) <= 10"
 _MINED = "select name, count(*) n from (" + " union all ".join(f"select unnest(regexp_extract_all(text, '{p}')) as name from chunks" for p in BODY_PATTERNS) + ") where length(name) >= 4 group by name"
 _FIRST = "select query_text, min(hit_id) hit_id from search_hits where query_text is not null group by 1"
@@ -328,19 +434,26 @@ SQL = {
     "single_file_status": f"with {_DATED}, l as (select law_name, max(effective_date) last from dated group by 1) select parsed_id, case when {_TDATE} < last then '已修订' else '有效' end derived from parsed_docs left join l on l.law_name = {_TLAW}",
     "upsert_latest": f"with {_CHUNKS} select chunk_id, row_id, md5(text) as text from cur",
     "graph_nodes": f"{_G} select 'Document' label, node from doc union all select 'Article', chunk_id from cur union all select distinct 'Authority', full_name from canonical_names where kind = 'authority' union all select distinct 'Term', full_name from canonical_names where kind = 'term'",
-    "graph_edges": f"""{_G}, t as (select chunk_id id, text from cur), m as (select id, canonical from ({_contained('t', 'own')}) where kind = 'term')
-      select case when {_DEF} then 'DEFINES' else 'MENTIONS' end as type, count(*) n from m join cur on cur.chunk_id = m.id group by 1
-      union all select 'BELONGS_TO', count(*) from bel
-      union all select 'REFERENCES', count(*) from (select distinct src, dst from refs where src in (select chunk_id from cur))
-      union all select 'ISSUED_BY', count(*) from iss
-      union all select 'RELATES_TO', count(*) from rel where src in (select node from doc) and dst in (select node from doc)""",
+    "graph_edges": f"{_G} select type, count(*) n from ed group by 1",
+    "graph_edge_rows": f"{_G} select * from ed",
     "related_1hop": f"{_G} {_PATHS.format('select src, dst, 1 path_length from refs')}",
     "related_2hop": f"""{_G}, dir as (select distinct src, dst from rel) {_PATHS.format('''select src, dst, 1 path_length from dir union all select a.src, b.dst, 2 from dir a join dir b on a.dst = b.src where a.src <> b.dst
       union all select a.src, b.src, 2 from iss a join iss b on a.dst = b.dst where a.src <> b.src''')}""",
-    "graph_facts": f"{_G} select distinct src || ' ' || relation_type || ' 《' || law || '》第' || article || '条' fact from refs where relation_type is not null",
-    "extract_refs": rf"""with m as (select doc_id, unnest(regexp_extract_all(text, '《([^》]{{2,60}})》\s*第\s*([零一二三四五六七八九十百千\d]+)\s*条')) x from documents)
-      select distinct doc_id, regexp_extract(x, '《([^》]+)》', 1) law, {_article("regexp_extract(x, '》[^第]*第([^条]+)条$', 1)")} article from m""",
-    "doc_references": "select distinct doc_id, unnest(regexp_extract_all(text, '《([^》]{2,80})》', 1)) title from documents",
+    "related_articles": f"""{_G}, {_ways()}, q as (select ref_id qid, chunk_id, {_NAME.replace("law_name", "target_law")} law, {_article("target_article")} article from article_refs where ref_id % 20 = 0),
+      asked as (select qid, 'law' kind, law v from q where law is not null union select qid, 'article', article from q where article is not null union select qid, kind, canonical from q join ct on ct.id = q.chunk_id where kind in ('term', 'authority')),
+      one as (select qid, id, path_length, branch, relation from asked join ways using (kind, v) qualify row_number() over (partition by qid, id order by path_length, branch, relation) = 1)
+      select qid, id, path_length, relation from one qualify row_number() over (partition by qid order by path_length, branch, id) <= 10""",
+    "graph_facts": f"""{_G} select distinct fact from (
+      select src || ' ' || relation_type || ' 《' || law || '》第' || article || '条' fact from refs where relation_type is not null
+      union all select '法规关系: ' || src || ' --' || relation_type || '--> ' || dst from rel
+      union all select '发布关系: ' || dst || ' 发布或关联 ' || src from iss
+      union all select '术语关系: ' || m.dst || ' 出现在 ' || {_NAME} || ' 第' || coalesce({_article('article_num')}, '未标注条号') || '条' from men m join cur on cur.chunk_id = m.src where {_NAME} is not null)""",
+    "extract_refs": rf"""with {_CHUNKS}, {_CITING}, m as (select chunk_id, unnest(regexp_extract_all(text, '《([^》]{{2,60}})》\s*第\s*([零一二三四五六七八九十百千\d]+)\s*条')) x from citing)
+      select distinct chunk_id, regexp_extract(x, '《([^》]+)》', 1) law, {_article("regexp_extract(x, '》[^第]*第([^条]+)条$', 1)")} article from m""",
+    "doc_references": f"with {_CHUNKS}, {_CITING} select distinct chunk_id, unnest(regexp_extract_all(text, '《([^》]{{2,80}})》', 1)) title from citing",
+    "authorities_in_texts": f"""with {_ALIASES}, t as (select parsed_id id, concat_ws(chr(10), title, full_text) as text from parsed_docs), au as (select * from aliases where kind = 'authority'),
+      m as (select distinct id, name from ({" union all ".join(f"select id, unnest(regexp_extract_all(text, '{p}')) as name from t" for p in BODY_PATTERNS)}))
+      select distinct id parsed_id, canonical authority from (select id, canonical from ({_contained('t', 'au')}) union all select id, coalesce(canonical, name) from m left join au on lower({_strip("name")}) = au.alias)""",
     "relation_rules": f"select {_REL} relation, count(*) n from (select substr(text, 1, 400) h from chunks) group by 1",
     "regex_mining_counts": _MINED,
     "new_authorities": f"with {_ALIASES}, c as ({_MINED} order by n desc, name limit 100) select name, n from c where lower(name) not in (select alias from aliases) and n >= 3",
@@ -352,7 +465,7 @@ SQL = {
     "dict_merge": """with u as (select kind, full_name as name, category, canon_id id, 0 origin from canonical_names union all select kind, name, category, candidate_id, 1 from dictionary_candidates where name is not null)
       select kind, name, category, origin from u qualify row_number() over (partition by kind, name order by origin, id) = 1""",
     "ordered_dedup": f"select row_number() over (order by hit_id) pos, query_text from ({_FIRST})",
-    "resume_pending": f"select query_text, hit_id from ({_FIRST}) where query_text not in (select query_text from search_hits where hit_rank = 1)",
+    "resume_pending": f"select query_text, hit_id from ({_FIRST}) where query_text not in (select query_text from search_hits where query_text is not null and searched_at < timestamp '2023-04-01')",
     "train_split": """with f as (select query_text, min_by(chunk_id, hit_id) chunk_id, min(hit_id) hit_id from search_hits where query_text <> '' and chunk_id <> '' group by 1)
       select query_text, chunk_id, case when row_number() over (order by hit_id) <= floor((select count(*) from f) * 0.9::double) then 'train' else 'validation' end part from f""",
     "rewrite_zip": f"""with a as (select item_id, row_number() over (order by item_id) pos from eval_items), b as (select query_text, row_number() over (order by hit_id) pos from ({_FIRST}))

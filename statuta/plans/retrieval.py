@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.functions.notation import BLANK, strip
-from statuta.functions.text import mapped_score, tokens
+from statuta.functions.notation import BLANK, clean_name, strip
+from statuta.functions.text import mapped_score, title_date, title_law, tokens
 from statuta.operators.dictionary import alias_relation, by_first_rule, contained, expanded, resolved, typed_values
-from statuta.operators.ranking import bm25, cell_index, confidence, corpus_stats, each_token, equalities, fused, hashed_embedding, nearest, nearest_by_cells, overlap_rerank, term_rank, top
-from statuta.session import spread, table
+from statuta.operators.mining import unknown
+from statuta.operators.index import TextIndex, build, load, search, search_branches, wanted
+from statuta.operators.ranking import appended, cell_index, confidence, each_token, equalities, fused, hashed_embedding, hashed_vectors, nearest, nearest_by_cells, overlap_rerank, term_rank, top
+from statuta.session import cut, kept, spread, stored, table
 
 #: Every row of a query table whose id is divisible by this is a query.
 EVERY = 20
@@ -24,11 +26,30 @@ def _questions(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "eval_items").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("qid"), F.col("text").alias("query"), tokens(F.col("text")).alias("tokens"))
 
 
+def _heads(s: SparkSession, d: str) -> DataFrame:
+    """The last loaded row of each chunk, without its text; kept, as many queries read it."""
+    cols = ["row_id", "law_name", "authority", "doc_type", "status", "source", "article_num"]
+
+    def make() -> DataFrame:
+        rows = table(s, d, "chunks").where("trim(chunk_id) <> ''")
+        return rows.groupBy("chunk_id").agg(F.max_by(F.struct(*cols), F.struct("loaded_at", "row_id")).alias("x")).select("chunk_id", "x.*")
+
+    return kept(s, d, "heads", ("chunks",), make)
+
+
 def _chunks(s: SparkSession, d: str) -> DataFrame:
-    """The last loaded row of each chunk."""
-    rows = table(s, d, "chunks").where("trim(chunk_id) <> ''")
-    cols = ["row_id", "text", "law_name", "authority", "doc_type", "status", "loaded_at"]
-    return rows.groupBy("chunk_id").agg(F.max_by(F.struct(*cols), F.struct("loaded_at", "row_id")).alias("x")).select("chunk_id", "x.*")
+    """As ``_heads``, with the text."""
+    return _heads(s, d).join(table(s, d, "chunks").select("row_id", "text"), "row_id")
+
+
+def _document_index(s: SparkSession, d: str) -> TextIndex:
+    path = stored(s, d, "documents-index", ("documents",))
+    return load(s, path) or build(_documents(s, d), path, "lang", "source", "doc_type")
+
+
+def _chunk_index(s: SparkSession, d: str) -> TextIndex:
+    path = stored(s, d, "chunks-index", ("chunks",))
+    return load(s, path) or build(_chunks(s, d).withColumnRenamed("chunk_id", "id").withColumn("tokens", tokens(F.col("text"))), path, "law_name", "authority", "doc_type", "status", "source")
 
 
 def _aliases(s: SparkSession, d: str) -> DataFrame:
@@ -41,36 +62,49 @@ def _own_aliases(s: SparkSession, d: str) -> DataFrame:
 
 
 def token_df(s: SparkSession, d: str) -> DataFrame:
-    each = each_token(_documents(s, d), "id").groupBy("token", "id").agg(F.count("*").alias("n"))
-    return each.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
+    return _document_index(s, d).terms
 
 
 def stats(s: SparkSession, d: str) -> DataFrame:
-    return corpus_stats(_documents(s, d)).withColumn("avg_len", F.round("avg_len", 6))
+    sizes = _document_index(s, d).documents
+    return sizes.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_len"), F.round(F.avg("dl"), 6).alias("avg_len"))
 
 
 def bm25_batch(s: SparkSession, d: str) -> DataFrame:
-    return bm25(_documents(s, d), _questions(s, d))
+    return search(_document_index(s, d), _questions(s, d).drop("query"))
 
 
 def bm25_filtered(s: SparkSession, d: str) -> DataFrame:
-    return bm25(_documents(s, d), _questions(s, d), keep=equalities(doc_type="law", lang="zh", source=""))
+    return search(_document_index(s, d), _questions(s, d).drop("query"), keep=equalities(doc_type="law", lang="zh", source=""))
 
 
 def bm25_chunks(s: SparkSession, d: str) -> DataFrame:
     """Full-text search over the chunks in force."""
-    chunks = _chunks(s, d).select(F.col("chunk_id").alias("id"), "status", tokens(F.col("text")).alias("tokens"))
-    return bm25(chunks, _questions(s, d), keep=equalities(status="有效"))
+    return search(_chunk_index(s, d), _questions(s, d).drop("query"), keep=equalities(status="有效"))
+
+
+def bm25_historical(s: SparkSession, d: str) -> DataFrame:
+    """Full-text search over all chunks, superseded ones included."""
+    return search(_chunk_index(s, d), _questions(s, d).drop("query"))
 
 
 def retrieve_or_filters(s: SparkSession, d: str) -> DataFrame:
     """One search for each of several filters, united: the best place of a document counts once."""
-    corpus, asked = _documents(s, d), _questions(s, d)
-    branches = [bm25(corpus, asked, keep=k) for k in (equalities(doc_type="case"), equalities(lang="en"), equalities(source="规章汇编库"))]
-    both = branches[0].unionByName(branches[1]).unionByName(branches[2])
+    branches = {"doc_type": equalities(doc_type="case"), "lang": equalities(lang="en"), "source": equalities(source="规章汇编库")}
+    both = search_branches(_document_index(s, d), _questions(s, d).drop("query"), branches)
     return top(both.groupBy("qid", "id").agg(F.max("score").alias("score")), 10)
 
 
+def retrieve_or_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Chunks in force of the commonest law, authority or source: a search for each, united, the first branch of a chunk named."""
+    heads = _heads(s, d)
+    most = lambda c: heads.where(f"trim({c}) <> ''").groupBy(c).count().orderBy(F.desc("count"), c).limit(1).first()[0]
+    branches = {c: equalities(**{c: most(c)}, status="有效") for c in ("law_name", "authority", "source")}
+    both = search_branches(_chunk_index(s, d), _questions(s, d).drop("query"), branches)
+    order = F.array_position(F.array(*map(F.lit, branches)), F.col("branch"))
+    return top(both.groupBy("qid", "id").agg(F.max("score").alias("score"), F.min_by("branch", order).alias("branch")), 10)
+
+
 def _vectors(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
@@ -104,47 +138,94 @@ def knn_cells(s: SparkSession, d: str) -> DataFrame:
     return nearest_by_cells(index, centres, _vector_queries(s, d))
 
 
-def _term_hits(s: SparkSession, d: str) -> DataFrame:
-    return contained(_chunks(s, d).select(F.col("chunk_id").alias("id"), "text"), _own_aliases(s, d))
+def _chunk_terms(s: SparkSession, d: str) -> DataFrame:
+    """Names in chunks, in their source, authority and text (``id``, ``kind``, ``canonical``, ``length``), kept: the postings of the term index."""
+    return kept(s, d, "chunk-terms", ("chunks", "canonical_names", "dictionary_candidates"), lambda: contained(_chunks(s, d).select(F.col("chunk_id").alias("id"), F.concat_ws("\n", "source", "authority", "text").alias("text")), _aliases(s, d)))
 
 
-def term_df(s: SparkSession, d: str) -> DataFrame:
-    return _term_hits(s, d).groupBy("kind", "canonical").agg(F.count("*").alias("df"))
+def _document_terms(s: SparkSession, d: str) -> DataFrame:
+    texts = lambda: spread(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return kept(s, d, "document-terms", ("documents", "canonical_names", "dictionary_candidates"), lambda: contained(texts(), _aliases(s, d)))
 
 
-def _term_index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings of names in documents, the number of documents, and the names in the questions."""
-    names = _own_aliases(s, d)
-    postings = contained(_documents(s, d).select("id", "text"), names).select(F.concat_ws("/", "kind", "canonical").alias("term"), "id")
-    asked = contained(_questions(s, d).select(F.col("qid").alias("id"), F.col("query").alias("text")), names).select(F.col("id").alias("qid"), F.concat_ws("/", "kind", "canonical").alias("term"))
-    return postings, table(s, d, "documents").agg(F.count("*").alias("n")), asked
+def term_df(s: SparkSession, d: str) -> DataFrame:
+    return _chunk_terms(s, d).groupBy("kind", "canonical").agg(F.count("*").alias("df"))
 
 
 def term_postings(s: SparkSession, d: str) -> DataFrame:
-    return _term_hits(s, d).select("kind", "canonical", F.col("id").alias("chunk_id"), F.col("length").cast("long").alias("length"))
+    return _chunk_terms(s, d).select("kind", "canonical", F.col("id").alias("chunk_id"), F.col("length").cast("long").alias("length"))
+
+
+def _named(postings: DataFrame, name: str = "id") -> DataFrame:
+    return postings.select(F.col("id").alias(name), F.concat_ws("/", "kind", "canonical").alias("term"))
 
 
-def term_rank_laws(s: SparkSession, d: str) -> DataFrame:
-    """Documents for each of the chunks' laws, by the reference names that the law's chunks have too."""
-    postings, n, _ = _term_index(s, d)
-    texts = _chunks(s, d).where("row_id % 20 = 0").select(F.col("row_id").alias("id"), "text")
-    asked = contained(texts, _own_aliases(s, d)).select(F.col("id").alias("qid"), F.concat_ws("/", "kind", "canonical").alias("term"))
-    return term_rank(postings, n, asked)
+def _candidate_names(s: SparkSession, d: str) -> DataFrame:
+    """Names found in every candidate whose id is divisible by 20, as queries for the term index."""
+    texts = table(s, d, "dictionary_candidates").where(F.col("candidate_id") % EVERY == 0).select(F.col("candidate_id").alias("id"), F.concat_ws(" ", "name", "short").alias("text"))
+    return _named(contained(texts, _aliases(s, d)), "qid")
+
+
+def term_rank_chunks(s: SparkSession, d: str) -> DataFrame:
+    return term_rank(_named(_chunk_terms(s, d)), _heads(s, d).agg(F.count("*").alias("n")), _candidate_names(s, d))
+
+
+def term_rank_filtered(s: SparkSession, d: str) -> DataFrame:
+    """As ``term_rank_chunks``; of chunks in force of the kind law, filtered after scoring."""
+    keep = _heads(s, d).where(equalities(status="有效", doc_type="law", law_name="", authority="", source="")).select(F.col("chunk_id").alias("id"))
+    return term_rank(_named(_chunk_terms(s, d)), _heads(s, d).agg(F.count("*").alias("n")), _candidate_names(s, d), keep=keep)
 
 
 def _similar(s: SparkSession, d: str) -> DataFrame:
     """Lists of documents like each document whose id is divisible by 20: by vector, by title words, by names."""
-    documents = _documents(s, d)
+    documents = table(s, d, "documents").select(F.col("doc_id").alias("id"), "title")
     asked = documents.where(F.col("id") % EVERY == 0)
     vectors = _vectors(s, d).join(documents.select("id"), "id", "left_semi")
     v = nearest(vectors, vectors.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "qid"))
-    b = bm25(documents, asked.select(F.col("id").alias("qid"), tokens(F.col("title")).alias("tokens")))
-    postings, n, _ = _term_index(s, d)
-    t = term_rank(postings, n, postings.where(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), "term"))
+    b = search(_document_index(s, d), asked.select(F.col("id").alias("qid"), tokens(F.col("title")).alias("tokens")))
+    postings = _named(_document_terms(s, d))
+    t = term_rank(postings, documents.agg(F.count("*").alias("n")), postings.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "qid"))
     named = lambda df, i: df.select("qid", F.lit(i).alias("list"), "id", "rank")
     return named(v, 1).unionByName(named(b, 2)).unionByName(named(t, 3))
 
 
+def _asked_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Questions with the kind of document that each wants, one of three in turn or any, and the status: in force, unless history is asked for."""
+    kinds = F.when(F.col("qid") % 80 == 0, "law").when(F.col("qid") % 80 == 20, "case").when(F.col("qid") % 80 == 40, "other")
+    status = F.when(F.col("qid") % 100 != 0, "有效")
+    return _questions(s, d).withColumns({"want_law": F.lit(None).cast("string"), "want_authority": F.lit(None).cast("string"), "want_kind": kinds, "want_status": status, "want_source": F.lit("")})
+
+
+def retrieve_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Chunks for questions: by vector (stand-in), by words and by names, five filters on each, fused; the best five, then the graph's.
+
+    Chunks that the graph relates to the laws of a question's hits follow with a score of 0, unless they are hits already.
+    """
+    asked, index = _asked_chunks(s, d), _chunk_index(s, d)
+    fits = wanted(law="law_name", authority="authority", kind="doc_type", status="status", source="source")
+    wants = asked.drop("query", "tokens")
+    fields = index.documents.drop("dl")
+    words = search(index, asked.drop("query"), keep=fits)
+    asked_tokens = each_token(asked, F.col("qid").alias("id")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    vectors, wish = hashed_vectors(index.postings).join(fields, "id"), hashed_vectors(asked_tokens).withColumnRenamed("id", "qid").join(wants, "qid")
+    near = nearest(vectors, wish, fits=[("law_name", "want_law"), ("authority", "want_authority"), ("doc_type", "want_kind"), ("status", "want_status"), ("source", "want_source")])
+    names = contained(asked.select(F.col("qid").alias("id"), F.col("query").alias("text")), _aliases(s, d))
+    keep = fields.join(F.broadcast(wants), fits).select("qid", "id")  # the questions, a stated set of a few hundred rows
+    terms = term_rank(_named(_chunk_terms(s, d)), _heads(s, d).agg(F.count("*").alias("n")), _named(names, "qid"), keep=keep)
+    named = lambda df, i: df.select("qid", F.lit(i).alias("list"), "id", "rank")
+    lists = cut(named(near, 1).unionByName(named(words, 2)).unionByName(named(terms, 3)))
+    # a few hits a question, read several times
+    hits = cut(fused(lists, 5))
+    return appended(hits.select("qid", "id", F.col("rrf_score").alias("score"), "rank"), law_links(s, d))
+
+
+def law_links(s: SparkSession, d: str) -> DataFrame:
+    """(``id``, ``other``): for each chunk the first ten chunks of laws that its law's references lead to."""
+    from statuta.plans.corpus import _law_neighbours
+
+    return _law_neighbours(s, d)
+
+
 def retrieve_fused(s: SparkSession, d: str) -> DataFrame:
     """The flagship: three branches in one plan, fused by reciprocal ranks."""
     return fused(_similar(s, d))
@@ -155,7 +236,7 @@ def rrf_two_way(s: SparkSession, d: str) -> DataFrame:
 
 
 def rerank(s: SparkSession, d: str) -> DataFrame:
-    hits = bm25_batch(s, d).join(_documents(s, d).select("id", "text"), "id").join(_questions(s, d).select("qid", "query"), "qid")
+    hits = bm25_batch(s, d).join(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").join(_questions(s, d).select("qid", "query"), "qid")
     return overlap_rerank(hits.select("qid", "id", "query", "text"))
 
 
@@ -175,8 +256,7 @@ def alias_resolve(s: SparkSession, d: str) -> DataFrame:
 
 
 def entity_detect(s: SparkSession, d: str) -> DataFrame:
-    texts = spread(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    return contained(texts, _aliases(s, d)).select(F.col("id").alias("doc_id"), "kind", "canonical", F.col("length").cast("long").alias("length"))
+    return _document_terms(s, d).select(F.col("id").alias("doc_id"), "kind", "canonical", F.col("length").cast("long").alias("length"))
 
 
 def query_expand(s: SparkSession, d: str) -> DataFrame:
@@ -186,8 +266,8 @@ def query_expand(s: SparkSession, d: str) -> DataFrame:
 
 
 def term_search(s: SparkSession, d: str) -> DataFrame:
-    """The names found in each searched text, longest alias first, at most three."""
-    asked = table(s, d, "search_hits").groupBy("query_id").agg(F.min("query_text").alias("text")).withColumnRenamed("query_id", "id")
+    """The names found in each candidate's name and short name, longest alias first, at most three."""
+    asked = table(s, d, "dictionary_candidates").select(F.col("candidate_id").alias("id"), F.concat_ws(" ", "name", "short").alias("text"))
     found = contained(asked, _aliases(s, d)).select(F.col("id").alias("qid"), F.concat_ws("/", "kind", "canonical").alias("id"), F.col("length").cast("long").alias("score"))
     return top(found, 3)
 
@@ -197,15 +277,70 @@ def dict_stats(s: SparkSession, d: str) -> DataFrame:
 
 
 def title_detect(s: SparkSession, d: str) -> DataFrame:
-    """The longest title of a law that stands in each document."""
-    laws = table(s, d, "chunks").select(F.lower(strip(F.col("law_name"))).alias("alias")).where("length(alias) >= 6").distinct().select(F.lit("law").alias("kind"), "alias", F.col("alias").alias("canonical"))
-    found = contained(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), laws)
-    return found.groupBy(F.col("id").alias("doc_id")).agg(F.max_by("canonical", F.struct("length", "canonical")).alias("law"))
+    """The longest title of a law, of those that files have, that stands in each parsed file."""
+    files = table(s, d, "parsed_docs")
+    laws = files.select(F.lower(strip(title_law(F.col("title")))).alias("alias")).where("length(alias) >= 6").distinct().select(F.lit("law").alias("kind"), "alias", F.col("alias").alias("canonical"))
+    found = contained(files.select(F.col("parsed_id").alias("id"), F.col("full_text").alias("text")), laws)
+    return found.groupBy(F.col("id").alias("parsed_id")).agg(F.max_by("canonical", F.struct("length", "canonical")).alias("law"))
+
+
+def source_detect(s: SparkSession, d: str) -> DataFrame:
+    """The source that each reference names: by the longest title without number and date, of six characters or more, that stands in what was typed."""
+    key = F.regexp_replace(F.regexp_replace("source", r"_\d{8}$", ""), r"^\d{1,2}\.", "")
+    titles = table(s, d, "chunks").select(F.lower(key).alias("alias"), "source").where("length(alias) >= 6").groupBy("alias").agg(F.min("source").alias("canonical")).select(F.lit("law").alias("kind"), "alias", "canonical")
+    asked = table(s, d, "article_refs").select(F.col("ref_id").alias("id"), F.concat_ws(" ", "target_law", "target_article").alias("text"))
+    return contained(asked, titles).groupBy(F.col("id").alias("ref_id")).agg(F.max_by("canonical", F.struct("length", "canonical")).alias("source"))
+
+
+def authority_detect(s: SparkSession, d: str) -> DataFrame:
+    """All authorities that a chunk names, in one value."""
+    return _chunk_terms(s, d).where("kind = 'authority'").groupBy(F.col("id").alias("chunk_id")).agg(F.array_join(F.array_sort(F.collect_set("canonical")), ",").alias("authorities"))
+
+
+def dictionary_entries(s: SparkSession, d: str) -> DataFrame:
+    """Each name of the candidates with its aliases, its years, and the first category and definition."""
+    rows = table(s, d, "dictionary_candidates").where("name is not null")
+    alias = lambda c: F.lower(strip(F.col(c)))
+    parts = lambda c, name: rows.select("kind", "name", F.explode(c).alias(name)).withColumn(name, alias(name)).where(f"{name} <> ''").distinct()
+    joined = lambda df, c: df.groupBy("kind", "name").agg(F.array_join(F.array_sort(F.collect_list(c)), ",").alias(c))
+    first = rows.groupBy("kind", "name").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("candidate_id"))).alias(c) for c in ("category", "definition")])
+    names = joined(parts(F.concat(F.array("short"), F.coalesce("aliases", F.array().cast("array<string>"))), "names"), "names")
+    years = joined(parts("found_years", "years"), "years")
+    return first.join(names, ["kind", "name"], "left").join(years, ["kind", "name"], "left")
+
+
+def resolve_names(s: SparkSession, d: str) -> DataFrame:
+    """The reference name of each candidate: by its own name, else by way of what its short name stands for."""
+    own, every = _own_aliases(s, d), _aliases(s, d)
+    c = table(s, d, "dictionary_candidates").select("candidate_id", "kind", F.lower(strip(F.col("name"))).alias("a"), F.lower(strip(F.col("short"))).alias("b"))
+    direct = own.select("kind", F.col("alias").alias("a"), F.col("canonical").alias("direct")).groupBy("kind", "a").agg(F.min("direct").alias("direct"))
+    by_short = every.select("kind", F.col("alias").alias("b"), F.lower("canonical").alias("via")).join(direct.select("kind", F.col("a").alias("via"), F.col("direct").alias("second")), ["kind", "via"]).drop("via")
+    both = c.join(direct, ["kind", "a"], "left").join(by_short, ["kind", "b"], "left")
+    return both.select("candidate_id", F.coalesce("direct", "second").alias("canonical"))
+
+
+def law_by_category_of_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Chunks and laws of each category of the first rule that a law's name meets."""
+    rules = _category_rules(s, d)
+    laws = _heads(s, d).select(clean_name(F.col("law_name")).alias("law")).dropna().groupBy("law").agg(F.count("*").alias("chunks"))
+    return by_first_rule(laws, "law", rules).groupBy("category").agg(F.count("*").alias("laws"), F.sum("chunks").alias("chunks"), F.min("law").alias("first_law"))
+
+
+def new_laws(s: SparkSession, d: str) -> DataFrame:
+    """Laws of parsed files that the dictionary doesn't know, with a short name, the latest year and a category."""
+    laws = table(s, d, "parsed_docs").select(title_law(F.col("title")).alias("name"), F.substring(title_date(F.col("title")), 1, 4).try_cast("long").alias("year")).where("name <> ''")
+    laws = unknown(laws.groupBy("name").agg(F.max("year").alias("latest_year")), "name", _aliases(s, d).where("kind = 'law'"))
+    return by_first_rule(laws.withColumn("short", F.regexp_replace("name", "^中华人民共和国", "")), "name", _category_rules(s, d))
+
+
+def _category_rules(s: SparkSession, d: str) -> DataFrame:
+    """The first two characters of the reference categories, in their order."""
+    return table(s, d, "canonical_names").select(F.col("category").substr(1, 2).alias("keyword"), "category", "canon_id").groupBy("keyword", "category").agg(F.min("canon_id").alias("priority"))
 
 
 def rule_category(s: SparkSession, d: str) -> DataFrame:
     """Category of each candidate by the first two characters of the reference categories, in their order."""
-    rules = table(s, d, "canonical_names").select(F.col("category").substr(1, 2).alias("keyword"), "category", "canon_id").groupBy("keyword", "category").agg(F.min("canon_id").alias("priority"))
+    rules = _category_rules(s, d)
     names = table(s, d, "dictionary_candidates").select("candidate_id", "name")
     return by_first_rule(names, "name", rules).select("candidate_id", "category")
 
@@ -226,13 +361,13 @@ def law_by_category(s: SparkSession, d: str) -> DataFrame:
 
 
 def hash_embed(s: SparkSession, d: str) -> DataFrame:
-    return hashed_embedding(_documents(s, d)).withColumnRenamed("id", "doc_id")
+    return hashed_embedding(_document_index(s, d).postings).withColumnRenamed("id", "doc_id")
 
 
 TOK = "coalesce(list_concat(regexp_extract_all(lower({0}), '[a-z0-9]+'), list_filter(list_transform(range(1, length(lower({0}))), lambda i: substr(lower({0}), i, 2)), lambda x: regexp_matches(x, '^[一-鿿]{{2}}$'))), [])"
 _DOCS = f"docs as (select doc_id id, text, title, lang, source, doc_type, {TOK.format('text')} tokens from documents)"
 _ASKED = f"asked as (select item_id qid, text query, {TOK.format('text')} tokens from eval_items where item_id % 20 = 0)"
-_CHUNKS = "cur as (select chunk_id, row_id, text, law_name, authority, doc_type, status from chunks where trim(chunk_id) <> '' qualify row_number() over (partition by chunk_id order by loaded_at desc, row_id desc) = 1)"
+_CHUNKS = "cur as (select chunk_id, row_id, text, law_name, authority, doc_type, status, source, article_num from chunks where trim(chunk_id) <> '' qualify row_number() over (partition by chunk_id order by loaded_at desc, row_id desc) = 1)"
 
 
 def _bm25(name: str, corpus: str, asked: str, keep: str = "true", k: int = 10) -> str:
@@ -252,6 +387,7 @@ def _knn(where: str = "true", queries: str = "q.vec_id % 20 = 0", k: int = 10) -
     return f"select q.vec_id qid, v.vec_id id, {_COS} score, row_number() over (partition by q.vec_id order by {_COS} desc, v.vec_id) as rank from embeddings q, embeddings v where {queries} and {where} qualify rank <= {k}"
 
 
+_CLEAN_LAW = f"nullif(regexp_replace(law_name, '^[{BLANK}《》〈〉]+|[{BLANK}《》〈〉]+$', '', 'g'), '')"
 _OWN = "own as (select kind, full_name canonical, lower(full_name) alias from canonical_names union all select kind, full_name, lower(short) from canonical_names)"
 _ALIASES = f"""aliases as (
   select kind, alias, canonical from (
@@ -269,15 +405,20 @@ def _contained(texts: str, aliases: str) -> str:
     return f"select id, kind, canonical, max(length(alias)) length from {texts} join {aliases} on length(alias) >= case kind when 'law' then 3 when 'authority' then 2 else 1 end and contains(lower(text), alias) group by all"
 
 
-_POSTINGS = f"post as (select distinct kind || '/' || canonical term, id from ({_contained('docs', 'own')}))"
+_CANDIDATES = f"asktext as (select candidate_id id, concat_ws(' ', name, short) as text from dictionary_candidates where candidate_id % 20 = 0), q as (select id qid, kind || '/' || canonical term from ({_contained('asktext', 'aliases')}))"
+_TITLE_LAW = r"regexp_replace(title, '_\d{8}$', '')"
+_RULES = "r as (select substr(category, 1, 2) keyword, category, min(canon_id) priority from canonical_names group by all)"
+_POSTINGS = f"post as (select distinct kind || '/' || canonical term, id from ({_contained('docs', 'aliases')}))"
+#: The same for the last rows of chunks.
+_CHUNK_POSTINGS = f"texts as (select chunk_id id, concat_ws(chr(10), source, authority, text) as text from cur), post as (select distinct kind || '/' || canonical term, id from ({_contained('texts', 'aliases')}))"
 
 
-def _terms(name: str, asked: str) -> str:
+def _terms(name: str, asked: str, total: str = "documents", keep: str = "true", k: int = 10) -> str:
     return f"""
 {name}_df as (select term, count(*) df from post group by term),
-{name}_s as (select qid, id, count(*) match_count, round(count(*) + 0.001::double * sum(ln(1 + (select count(*) from documents) / df)), 6) score
+{name}_s as (select qid, id, count(*) match_count, round(count(*) + 0.001::double * sum(ln(1 + (select count(*) from {total}) / df)), 6) score
   from (select distinct qid, term from {asked}) join {name}_df using (term) join post using (term) group by all),
-{name} as (select *, row_number() over (partition by qid order by score desc, id) as rank from {name}_s qualify rank <= 10)"""
+{name} as (select *, row_number() over (partition by qid order by score desc, id) as rank from {name}_s s where {keep} qualify rank <= {k})"""
 
 
 def _fused(lists: str, k: int) -> str:
@@ -287,19 +428,45 @@ select qid, id, rrf_score, (first // 1000) first_list, row_number() over (partit
 
 
 _SIMILAR = f"""
-{_DOCS}, {_OWN}, {_POSTINGS},
+{_DOCS}, {_ALIASES}, {_POSTINGS},
 titled as (select id qid, {TOK.format('title')} tokens from docs where id % 20 = 0),
 vec as ({_knn("v.vec_id in (select doc_id from documents)", "q.vec_id % 20 = 0 and q.vec_id in (select doc_id from documents)")}),
 {_bm25("bm", "docs", "titled")},
 same as (select id qid, term from post where id % 20 = 0),
 {_terms("tr", "same")}"""
 
+_HASHED = "select id, list(coalesce(weight, 0) order by dim) vector from (select a.id, g.dim, w.weight from (select distinct id from {0}) a cross join range(64) g(dim) left join (select id, dim, round(n / sqrt(sum(n * n) over (partition by id)), 6) weight from (select id, ('0x' || substr(md5(token), 1, 6))::bigint % 64 dim, count(*)::double n from (select id, unnest(tokens) token from {0}) group by all)) w on w.id = a.id and w.dim = g.dim) where id in (select id from {0} where len(tokens) > 0) group by id"
+_LINKS = """links as (select h.id, n.other from hl h join (select law, other, row_number() over (partition by law order by other) n from (select distinct b.law, t.id other from reld b join hl t on t.law = b.other)) n using (law) where n.n <= 10)"""
+_RETRIEVE_CHUNKS = f"""with {_CHUNKS}, {_ALIASES}, {_CHUNK_POSTINGS}, docs as (select chunk_id id, law_name, authority, doc_type, status, source, {TOK.format('text')} tokens from cur), {_ASKED},
+  want as (select qid, case qid % 80 when 0 then 'law' when 20 then 'case' when 40 then 'other' end wk, case when qid % 100 <> 0 then '有效' end ws from asked),
+  fit as (select qid, id from want, docs where coalesce(doc_type = wk, coalesce(wk, '') = '') and coalesce(status = ws, coalesce(ws, '') = '')),
+  bm_q as (select qid, token, count(*) times from (select qid, unnest(tokens) token from asked) group by all),
+  bm_p as (select token, id, dl, count(*) tf from (select id, len(tokens) dl, unnest(tokens) token from docs) where token in (select token from bm_q) group by all),
+  bm_d as (select token, count(*) df from bm_p group by token),
+  bm_s as (select qid, p.id, round(sum(times * ln((n - df + 0.5::double) / (df + 0.5::double) + 1) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * p.dl / a))), 6) score
+    from bm_p p join bm_d using (token) join bm_q using (token), (select count(*)::double n, avg(len(tokens)) a from docs) group by all),
+  bm as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from bm_s semi join fit using (qid, id) where score > 0 qualify rank <= 10),
+  askdoc as (select qid id, tokens from asked), vd as ({_HASHED.format('docs')}), vq as ({_HASHED.format('askdoc')}),
+  vs as (select q.id qid, v.id, round(list_dot_product(v.vector, q.vector) / sqrt(list_dot_product(v.vector, v.vector)) / sqrt(list_dot_product(q.vector, q.vector)), 6) score from vq q, vd v semi join fit f on f.qid = q.id and f.id = v.id),
+  vec as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from vs qualify rank <= 10),
+  askt as (select qid id, query as text from asked), named as (select id qid, kind || '/' || canonical term from ({_contained('askt', 'aliases')})),
+  {_terms('tr', 'named', 'cur', 'exists (select 1 from fit f where f.qid = s.qid and f.id = s.id)')},
+  uni as (select qid, id, round(sum(1::double / (60 + rank)), 6) score, min(list * 1000 + rank) first from (select qid, 1 list, id, rank from vec union all select qid, 2, id, rank from bm union all select qid, 3, id, rank from tr) group by all),
+  hits as (select qid, id, score, row_number() over (partition by qid order by score desc, first, id) as rank from uni qualify rank <= 5),
+  hl as (select chunk_id id, {_CLEAN_LAW} law from cur where {_CLEAN_LAW} is not null),
+  reld as (select distinct h.law, {_CLEAN_LAW.replace('law_name', 'target_law')} other from article_refs r join hl h on h.id = r.chunk_id where {_CLEAN_LAW.replace('law_name', 'target_law')} <> h.law),
+  {_LINKS},
+  cand as (select h.qid, l.other id, min(h.rank) as of_ from hits h join links l using (id) where not exists (select 1 from hits x where x.qid = h.qid and x.id = l.other) group by all),
+  more as (select qid, id, row_number() over (partition by qid order by of_, id) n from cand qualify n <= 10)
+  select qid, id, score, rank, false from_graph from hits union all select qid, id, 0::double, l + n, true from more join (select qid, max(rank) l from hits group by qid) using (qid)"""
+
 QUERIES = {
-    "token_df": token_df, "corpus_stats": stats, "bm25_batch": bm25_batch, "bm25_filtered": bm25_filtered, "bm25_chunks": bm25_chunks, "retrieve_or_filters": retrieve_or_filters,
+    "token_df": token_df, "corpus_stats": stats, "bm25_batch": bm25_batch, "bm25_filtered": bm25_filtered, "bm25_chunks": bm25_chunks, "bm25_historical": bm25_historical, "retrieve_or_chunks": retrieve_or_chunks, "retrieve_chunks": retrieve_chunks, "term_rank_filtered": term_rank_filtered, "retrieve_or_filters": retrieve_or_filters,
     "knn_batch": knn_batch, "knn_filtered": knn_filtered, "knn_selfjoin_top3": knn_selfjoin, "knn_norm_score": knn_norm_score, "knn_cells": knn_cells,
-    "term_postings": term_postings, "term_df": term_df, "term_rank": term_rank_laws, "retrieve_fused": retrieve_fused, "rrf_two_way": rrf_two_way, "rerank_overlap": rerank, "confidence": answer_confidence,
+    "term_postings": term_postings, "term_df": term_df, "term_rank": term_rank_chunks, "retrieve_fused": retrieve_fused, "rrf_two_way": rrf_two_way, "rerank_overlap": rerank, "confidence": answer_confidence,
     "alias_map": alias_map, "alias_resolve": alias_resolve, "entity_detect": entity_detect, "query_expand": query_expand, "term_search": term_search, "dict_stats": dict_stats,
     "title_detect": title_detect, "rule_category": rule_category, "filter_values": filter_values, "law_by_category": law_by_category, "hash_embed": hash_embed,
+    "source_detect": source_detect, "authority_detect": authority_detect, "dictionary_entries": dictionary_entries, "resolve_names": resolve_names, "category_of_chunks": law_by_category_of_chunks, "new_laws": new_laws,
 }
 
 SQL = {
@@ -308,6 +475,11 @@ SQL = {
     "bm25_batch": f"with {_DOCS}, {_ASKED}, {_bm25('bm', 'docs', 'asked')} select * from bm",
     "bm25_filtered": f"""with {_DOCS}, {_ASKED}, {_bm25("bm", "docs", "asked", "c.doc_type = 'law' and c.lang = 'zh'")} select * from bm""",
     "bm25_chunks": f"""with {_CHUNKS}, docs as (select chunk_id id, status, {TOK.format('text')} tokens from cur), {_ASKED}, {_bm25("bm", "docs", "asked", "c.status = '有效'")} select * from bm""",
+    "bm25_historical": f"""with {_CHUNKS}, docs as (select chunk_id id, status, {TOK.format('text')} tokens from cur), {_ASKED}, {_bm25("bm", "docs", "asked")} select * from bm""",
+    "retrieve_or_chunks": f"""with {_CHUNKS}, docs as (select chunk_id id, status, law_name, authority, source, {TOK.format('text')} tokens from cur), {_ASKED},
+      {", ".join(_bm25(f"b{i}", "docs", "asked", f"c.status = '有效' and c.{c} = (select {c} from cur where trim({c}) <> '' group by {c} order by count(*) desc, {c} limit 1)") for i, c in enumerate(("law_name", "authority", "source")))},
+      u as (select qid, id, max(score) score, min_by(b, i) branch from (select *, 0 i, 'law_name' b from b0 union all select *, 1, 'authority' from b1 union all select *, 2, 'source' from b2) group by qid, id)
+      select qid, id, score, branch, row_number() over (partition by qid order by score desc, id) as rank from u qualify rank <= 10""",
     "retrieve_or_filters": f"""with {_DOCS}, {_ASKED}, {_bm25("b1", "docs", "asked", "c.doc_type = 'case'")}, {_bm25("b2", "docs", "asked", "c.lang = 'en'")}, {_bm25("b3", "docs", "asked", "c.source = '规章汇编库'")},
       u as (select qid, id, max(score) score from (select * from b1 union all select * from b2 union all select * from b3) group by all)
       select *, row_number() over (partition by qid order by score desc, id) as rank from u qualify rank <= 10""",
@@ -315,9 +487,12 @@ SQL = {
     "knn_filtered": _knn("v.label = q.label"),
     "knn_selfjoin_top3": f"with x as ({_knn('true', 'true', 4)}) select qid, id, score, row_number() over (partition by qid order by score desc, id) as rank from (select qid, id, score from x) where id <> qid qualify rank <= 3",
     "knn_norm_score": f"with x as ({_knn()}) select *, round(case when score >= 0 then least(score, 1) else (greatest(score, -1) + 1) / 2 end, 4) mapped from x",
-    "term_postings": f"with {_CHUNKS}, t as (select chunk_id id, text from cur), {_OWN} select kind, canonical, id chunk_id, length from ({_contained('t', 'own')})",
-    "term_df": f"with {_CHUNKS}, t as (select chunk_id id, text from cur), {_OWN} select kind, canonical, count(*) df from ({_contained('t', 'own')}) group by all",
-    "term_rank": f"with {_CHUNKS}, {_DOCS}, {_OWN}, {_POSTINGS}, t as (select row_id id, text from cur where row_id % 20 = 0), q as (select id qid, kind || '/' || canonical term from ({_contained('t', 'own')})), {_terms('tr', 'q')} select qid, id, match_count, score, rank from tr",
+    "term_postings": f"with {_CHUNKS}, {_ALIASES}, t as (select chunk_id id, concat_ws(chr(10), source, authority, text) as text from cur) select kind, canonical, id chunk_id, length from ({_contained('t', 'aliases')})",
+    "term_df": f"with {_CHUNKS}, {_ALIASES}, t as (select chunk_id id, concat_ws(chr(10), source, authority, text) as text from cur) select kind, canonical, count(*) df from ({_contained('t', 'aliases')}) group by all",
+    "term_rank": f"with {_CHUNKS}, {_ALIASES}, {_CHUNK_POSTINGS}, {_CANDIDATES}, {_terms('tr', 'q', 'cur')} select qid, id, match_count, score, rank from tr",
+    "term_rank_filtered": f"""with {_CHUNKS}, {_ALIASES}, {_CHUNK_POSTINGS}, {_CANDIDATES},
+      {_terms('tr', 'q', 'cur', "id in (select chunk_id from cur where status = '有效' and doc_type = 'law')")} select qid, id, match_count, score, rank from tr""",
+    "retrieve_chunks": _RETRIEVE_CHUNKS,
     "retrieve_fused": f"with {_SIMILAR}, {_fused('select qid, 1 list, id, rank from vec union all select qid, 2, id, rank from bm union all select qid, 3, id, rank from tr', 10)}",
     "rrf_two_way": f"with {_SIMILAR}, {_fused('select qid, 2 list, id, rank from bm union all select qid, 3, id, rank from tr', 5)}",
     "rerank_overlap": f"""with {_DOCS}, {_ASKED}, {_bm25('bm', 'docs', 'asked')},
@@ -336,12 +511,30 @@ SQL = {
       k as (select t.id, text, canonical, f.length, alias from f join aliases using (kind, canonical) join t on t.id = f.id where kind = 'term' and not contains(lower(text), alias) qualify row_number() over (partition by t.id, canonical order by length(alias), alias) <= 2),
       g as (select id, list(alias order by -length, canonical, length(alias), alias) al from k group by id)
       select t.id candidate_id, array_to_string(list_concat([text], coalesce(al, [])), ' ') expanded from t left join g using (id)""",
-    "term_search": f"""with {_ALIASES}, t as (select query_id id, min(query_text) as text from search_hits group by 1),
+    "term_search": f"""with {_ALIASES}, t as (select candidate_id id, concat_ws(' ', name, short) as text from dictionary_candidates),
       f as (select id qid, kind || '/' || canonical id, length score from ({_contained('t', 'aliases')}))
       select *, row_number() over (partition by qid order by score desc, id) as rank from f qualify rank <= 3""",
     "dict_stats": f"with {_ALIASES} select kind, count(distinct canonical) names, count(*) aliases from aliases group by kind",
-    "title_detect": f"""with l as (select distinct 'law' kind, lower({_strip('law_name')}) alias, lower({_strip('law_name')}) canonical from chunks where length({_strip('law_name')}) >= 6), t as (select doc_id id, text from documents)
-      select id doc_id, max_by(canonical, length::bigint * 1000000 + rk) law from (select f.*, row_number() over (order by canonical) rk from ({_contained('t', 'l')}) f) group by id""",
+    "title_detect": f"""with l as (select distinct 'law' kind, lower({_strip(_TITLE_LAW)}) alias, lower({_strip(_TITLE_LAW)}) canonical from parsed_docs where length({_strip(_TITLE_LAW)}) >= 6), t as (select parsed_id id, full_text as text from parsed_docs)
+      select id parsed_id, max_by(canonical, length::bigint * 1000000 + rk) law from (select f.*, row_number() over (order by canonical) rk from ({_contained('t', 'l')}) f) group by id""",
+    "source_detect": rf"""with k as (select lower(regexp_replace(regexp_replace(source, '_\d{{8}}$', ''), '^\d{{1,2}}\.', '')) alias, source from chunks), l as (select 'law' kind, alias, min(source) canonical from k where length(alias) >= 6 group by alias), t as (select ref_id id, concat_ws(' ', target_law, target_article) as text from article_refs)
+      select id ref_id, max_by(canonical, length::bigint * 1000000 + rk) source from (select f.*, row_number() over (order by canonical) rk from ({_contained('t', 'l')}) f) group by id""",
+    "authority_detect": f"with {_CHUNKS}, {_ALIASES}, {_CHUNK_POSTINGS} select id chunk_id, string_agg(substr(term, 11), ',' order by term) authorities from post where term like 'authority/%' group by 1",
+    "dictionary_entries": f"""with r as (select * from dictionary_candidates where name is not null),
+      n as (select distinct kind, name, lower({_strip("a")}) x from (select kind, name, short a from r union all select kind, name, unnest(aliases) from r) where {_strip("a")} <> ''),
+      y as (select distinct kind, name, lower({_strip("a")}) x from (select kind, name, unnest(found_years) a from r) where {_strip("a")} <> ''),
+      f as (select kind, name, arg_min(category, candidate_id) filter (category is not null) category, arg_min(definition, candidate_id) filter (definition is not null) definition from r group by all)
+      select f.*, (select string_agg(x, ',' order by x) from n where n.kind = f.kind and n.name = f.name) as names, (select string_agg(x, ',' order by x) from y where y.kind = f.kind and y.name = f.name) as years from f""",
+    "resolve_names": f"""with {_ALIASES}, {_OWN}, dir as (select kind, alias a, min(canonical) direct from own group by all),
+      sec as (select x.kind, x.alias b, dir.direct as second from aliases x join dir on dir.kind = x.kind and dir.a = lower(x.canonical))
+      select candidate_id, coalesce(direct, second) canonical from dictionary_candidates c left join dir on dir.kind = c.kind and dir.a = lower({_strip("name")}) left join sec on sec.kind = c.kind and sec.b = lower({_strip("c.short")})""",
+    "category_of_chunks": f"""with {_CHUNKS}, {_RULES}, laws as (select {_CLEAN_LAW} law, count(*) chunks from cur where {_CLEAN_LAW} is not null group by 1),
+      m as (select law, category from laws join r on contains(law, keyword) qualify row_number() over (partition by law order by priority, keyword, category) = 1)
+      select coalesce(category, '其他') category, count(*) laws, sum(chunks)::bigint chunks, min(law) first_law from laws left join m using (law) group by 1""",
+    "new_laws": rf"""with {_ALIASES}, {_RULES}, laws as (select {_TITLE_LAW} as name, max(try_cast(nullif(substr(regexp_extract(title, '_(\d{{8}})$', 1), 1, 4), '') as bigint)) latest_year from parsed_docs where {_TITLE_LAW} <> '' group by 1),
+      l as (select * from laws where lower(name) not in (select alias from aliases where kind = 'law')),
+      m as (select name, category from l join r on contains(name, keyword) qualify row_number() over (partition by name order by priority, keyword, category) = 1)
+      select name, latest_year, regexp_replace(name, '^中华人民共和国', '') short, coalesce(category, '其他') category from l left join m using (name)""",
     "rule_category": """with r as (select substr(category, 1, 2) keyword, category, min(canon_id) priority from canonical_names group by all),
       m as (select name, category from (select distinct name from dictionary_candidates) join r on contains(name, keyword) qualify row_number() over (partition by name order by priority, keyword, category) = 1)
       select candidate_id, coalesce(m.category, '其他') category from dictionary_candidates left join m using (name)""",

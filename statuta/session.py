@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +63,8 @@ def scratch(spark: SparkSession) -> str:
     """The shared folder ``spark.checkpoint.dir`` of the session; a temporary one only where that is unset (tests, local runs)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="statuta-scratch-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -75,6 +80,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, name: str):  # noqa: ANN202
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def finished(spark: SparkSession, folder: str) -> bool:
+    """Whether a table was written to ``folder`` to the end."""
+    path, fs = _path(spark, f"{folder}/_SUCCESS")
+    return fs.exists(path)
+
+
+def stored(spark: SparkSession, folder: str, name: str, tables: tuple[str, ...]) -> str:
+    """Where in the scratch folder this application keeps the derived table ``name`` of ``tables`` in ``folder``.
+
+    The place goes by the size and time of the tables' files, so that changed tables get another one.
+    """
+    states = [spark.sparkContext.applicationId]
+    for t in tables:
+        path, fs = _path(spark, f"{folder}/{t}.parquet")
+        status, summary = fs.getFileStatus(path), fs.getContentSummary(path)
+        states.append((t, status.getModificationTime(), summary.getLength(), summary.getFileCount()))
+    digest = hashlib.sha256(repr((folder, name, states)).encode()).hexdigest()[:20]
+    return f"{scratch(spark)}/statuta-{name}-{digest}"
+
+
+def kept(spark: SparkSession, folder: str, name: str, tables: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+    """The derived table ``name``, made and written the first time it is asked for."""
+    path = stored(spark, folder, name, tables)
+    if not finished(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """True if ``df`` has at most ``most_rows`` rows; reads no more than that many."""
     return df.limit(most_rows + 1).count() <= most_rows

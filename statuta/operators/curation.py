@@ -6,36 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from statuta.session import cut
 
-def positions(rows: DataFrame, order: str, buckets: int = 256) -> DataFrame:
-    """``rows`` with ``pos``, from 1 in the order of the whole-number column ``order``, whose values must be unique.
 
-    The range of values is cut into equal buckets; places are counted within a bucket and moved by
-    the rows of the buckets before, so no task orders all rows.
-    """
-    ends = rows.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    width = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("__hi") - F.col("__lo") + 1) / buckets).cast("long"))
-    cut = rows.crossJoin(F.broadcast(ends)).withColumn("__b", F.floor((F.col(order) - F.col("__lo")) / width).cast("int")).drop("__lo", "__hi")  # one row
-    # at most ``buckets`` rows
-    sums = cut.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    inside = F.row_number().over(W.partitionBy("__b").orderBy(order))
-    return cut.withColumn("__i", inside).join(F.broadcast(before), "__b").withColumn("pos", (F.col("__before") + F.col("__i")).cast("long")).drop("__b", "__i", "__before")
-
-
-def text_positions(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with ``pos``, from 1 in the order of text columns, whose values together must be unique.
+def positions(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``pos``, from 1 in the order of the columns ``order``, whose values together should be unique.
 
-    Places are counted among the rows whose first column starts with the same three bytes, and moved
-    by the rows before those.
+    Rows are put into ranges by samples of their values, however these are spread, sorted within
+    each range, and written with their place there; places move by the rows of the ranges before. So
+    no task orders all rows, and more partitions make smaller ranges. Nulls come first.
     """
-    head = F.rpad(F.hex(F.substring(F.encode(F.coalesce(order[0], F.lit("")), "UTF-8"), 1, 3)), 6, "0")
-    cut = rows.withColumn("__b", head)
-    sums = cut.groupBy("__b").agg(F.count("*").alias("__n"))
-    # one row for each three bytes that a text starts with
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    # the number holds the partition above 33 bits, and the place in it below
+    placed = cut(placed).withColumn("__b", F.shiftright("__m", 33)).withColumn("__i", F.col("__m") - F.shiftleft("__b", 33) + 1).drop("__m")
+    # a row a range
+    sums = placed.groupBy("__b").agg(F.count("*").alias("__n"))
     before = sums.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    inside = F.row_number().over(W.partitionBy("__b").orderBy(*order))
-    return cut.withColumn("__i", inside).join(before, "__b").withColumn("pos", (F.col("__before") + F.col("__i")).cast("long")).drop("__b", "__i", "__before")
+    return placed.join(F.broadcast(before), "__b").withColumn("pos", (F.col("__before") + F.col("__i")).cast("long")).drop("__b", "__i", "__before")
 
 
 def first_of(rows: DataFrame, value: str, order: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +40,28 @@ def resolved(values: DataFrame, aliases: DataFrame, value: str, kind: str) -> Da
     return values.join(own, F.lower(strip(F.col(value))) == F.col("__alias"), "left").drop("__alias")
 
 
+#: The machine that this worker built last, and its names, by the name of its part of the dictionary.
+_BUILT: dict[str, tuple] = {}
+
+
+def _machine(token: str, aliases: list[tuple[str, str, str]]) -> tuple:
+    """The matching machine of ``aliases`` (``kind``, ``alias``, ``canonical``) and the names; a worker keeps its last one for the tasks that follow."""
+    if token not in _BUILT:
+        import ahocorasick
+
+        names: dict[tuple[str, str], int] = {}
+        by_alias: dict[str, list[int]] = {}
+        for k, a, c in aliases:
+            by_alias.setdefault(a, []).append(names.setdefault((k, c), len(names)))
+        machine = ahocorasick.Automaton()
+        for a, own in by_alias.items():
+            machine.add_word(a, (len(a), own))
+        machine.make_automaton()
+        _BUILT.clear()
+        _BUILT[token] = machine, list(names)
+    return _BUILT[token]
+
+
 def contained(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """(``id``, ``kind``, ``canonical``, ``length``) of the names of which an alias stands in the lower-cased ``text``.
 
@@ -53,25 +76,15 @@ def contained(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     out = None
     for p in range(passes):
         part = (looked if passes == 1 else looked.where(F.pmod(F.xxhash64("kind", "alias"), F.lit(passes)) == p)).collect()
-        sent = texts.sparkSession.sparkContext.broadcast([(r.kind, r.alias, r.canonical) for r in part])
+        sent = texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.kind, r.alias, r.canonical) for r in part]))
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            import ahocorasick
-
-            names: dict[tuple[str, str], int] = {}
-            by_alias: dict[str, list[int]] = {}
-            for k, a, c in sent.value:
-                by_alias.setdefault(a, []).append(names.setdefault((k, c), len(names)))
-            machine = ahocorasick.Automaton()
-            for a, own in by_alias.items():
-                machine.add_word(a, (len(a), own))
-            machine.make_automaton()
-            known = list(names)
+            machine, known = _machine(*sent.value)
             for batch in batches:
                 at, which, size = [], [], []
                 for row, t in enumerate(batch.column(1).to_pylist()):
                     best: dict[int, int] = {}
-                    for _, (n, own) in machine.iter(t) if t and by_alias else ():
+                    for _, (n, own) in machine.iter(t) if t and known else ():
                         for i in own:
                             best[i] = max(best.get(i, 0), n)
                     at += [row] * len(best)
@@ -99,8 +112,13 @@ def expanded(found: DataFrame, aliases: DataFrame, texts: DataFrame, most: int =
 
 def by_first_rule(names: DataFrame, name: str, rules: DataFrame, default: str = "其他") -> DataFrame:
     """``names`` with ``category`` of the first rule (``priority``, ``keyword``, ``category``) whose keyword stands in the name."""
-    hit = F.broadcast(rules) if small_enough(rules, 10_000) else rules
-    met = names.select(F.col(name).alias("__name")).distinct().join(hit, F.contains(F.col("__name"), F.col("keyword")))
+    each = names.select(F.col(name).alias("__name")).dropna().distinct()
+    if small_enough(rules, 10_000):
+        met = each.join(F.broadcast(rules), F.contains(F.col("__name"), F.col("keyword")))
+    else:
+        words = rules.select(F.lit("rule").alias("kind"), F.lower("keyword").alias("alias"), F.col("keyword").alias("canonical")).distinct()
+        found = contained(each.select(F.col("__name").alias("id"), F.col("__name").alias("text")), words)
+        met = found.select(F.col("id").alias("__name"), F.col("canonical").alias("keyword")).where(F.contains(F.col("__name"), F.col("keyword"))).join(rules, "keyword")
     first = met.groupBy("__name").agg(F.min_by("category", F.struct("priority", "keyword", "category")).alias("category"))
     return names.join(first, F.col(name) == F.col("__name"), "left").drop("__name").withColumn("category", F.coalesce("category", F.lit(default)))
 

@@ -87,13 +87,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str | Non
     """
     pairs = [(same, same, False)] if same else []
     pairs += [(v, q, True) for v, q in fits or []]
-    q = queries.where(F.col("vector").isNotNull()).select("qid", "vector", *dict.fromkeys(c for _, c, _ in pairs))
+    # own names, as both sides may come of one table
+    q = queries.where(F.col("vector").isNotNull()).select("qid", F.col("vector").alias("asked"), *[F.col(c).alias(f"want_{c}") for c in dict.fromkeys(c for _, c, _ in pairs)])
     v = vectors.where(F.col("vector").isNotNull()).select("id", "vector", *dict.fromkeys(c for c, _, _ in pairs))
     out = f"qid {queries.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
 
     def of_block(pv: pd.DataFrame, pq: pd.DataFrame) -> pd.DataFrame:
-        tags = [(pv[a].to_numpy(object), pq[b].to_numpy(object), free) for a, b, free in pairs]
-        return _best_of_block(pv["id"].to_numpy(), np.array(pv["vector"].tolist(), np.float64), pq["qid"].to_numpy(), np.array(pq["vector"].tolist(), np.float64), k, tags)
+        tags = [(pv[a].to_numpy(object), pq[f"want_{b}"].to_numpy(object), free) for a, b, free in pairs]
+        return _best_of_block(pv["id"].to_numpy(), np.array(pv["vector"].tolist(), np.float64), pq["qid"].to_numpy(), np.array(pq["asked"].tolist(), np.float64), k, tags)
 
     if small_enough(q, most):
         sent = vectors.sparkSession.sparkContext.broadcast(q.toPandas())
@@ -161,7 +162,7 @@ def cell_index(vectors: DataFrame, cells: int | None = None, sample: int = 20_00
     return own.select("id", "vector", cell("vector").alias("cell")), centres
 
 
-def nearest_by_cells(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 10, share: float = 0.55, block: int = 20_000) -> DataFrame:
+def nearest_by_cells(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 10, share: float = 0.65, block: int = 20_000) -> DataFrame:
     """As ``nearest``, looking only into the ``share`` of cells whose centres are closest to the query; recall depends on ``share``.
 
     Cells of more than ``block`` vectors are met in parts; each part is one group with the queries that look into its cell.
@@ -174,7 +175,7 @@ def nearest_by_cells(index: DataFrame, centres: np.ndarray, queries: DataFrame,
 
     parts = index.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     split = index.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")  # a row a cell
-    asked = queries.where(F.col("vector").isNotNull()).select("qid", "vector", F.explode(cells("vector")).alias("cell")).join(F.broadcast(parts), "cell")
+    asked = queries.where(F.col("vector").isNotNull()).select("qid", F.col("vector").alias("asked"), F.explode(cells("vector")).alias("cell")).join(F.broadcast(parts), "cell")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {index.schema['id'].dataType.simpleString()}, score double"
     empty = pd.DataFrame({"qid": [], "id": [], "score": []})
@@ -182,7 +183,7 @@ def nearest_by_cells(index: DataFrame, centres: np.ndarray, queries: DataFrame,
     def of_cell(pv: pd.DataFrame, pq: pd.DataFrame) -> pd.DataFrame:
         if not len(pv) or not len(pq):
             return empty
-        return _best_of_block(pv["id"].to_numpy(), np.array(pv["vector"].tolist(), np.float64), pq["qid"].to_numpy(), np.array(pq["vector"].tolist(), np.float64), k, [])
+        return _best_of_block(pv["id"].to_numpy(), np.array(pv["vector"].tolist(), np.float64), pq["qid"].to_numpy(), np.array(pq["asked"].tolist(), np.float64), k, [])
 
     return top(split.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(of_cell, kinds), k).select("qid", "id", "score", "rank")
 

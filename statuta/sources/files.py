@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statuta.functions.text import clean_text
-from statuta.operators.curation import text_positions
+from statuta.functions.text import clean_text, without_number
+from statuta.operators.curation import positions
 
 # Marks at a file's start and the encodings they stand for.
 MARKS = ((b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"), (b"\xef\xbb\xbf", "utf-8-sig"))
@@ -44,6 +44,22 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("question string, query string").option("mode", "DROPMALFORMED").json(path).where("question <> ''")
 
 
+def read_question_array(spark: SparkSession, path: str, field: str = "question") -> DataFrame:
+    """(``question``) of files that hold one JSON array each, of texts or of objects with ``field``; blank ones are left out.
+
+    The array is a value of one row of its file, as a JSON text can't be cut: for lists of questions, not for tables.
+    """
+    whole = spark.read.format("binaryFile").load(path).select(decoded("content").alias("text"))
+    each = whole.select(F.explode(F.from_json("text", "array<string>")).alias("x"))
+    question = F.trim(F.coalesce(F.get_json_object("x", f"$.{field}"), F.when(~F.col("x").startswith("{"), F.col("x"))))
+    return each.select(question.alias("question")).where("question <> ''")
+
+
+def read_question_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(``question``) of text files with one question a line, without the number in front of it; blank lines are left out."""
+    return spark.read.text(path).select(F.trim(without_number(F.col("value"))).alias("question")).where("question <> ''")
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(``kind``, ``name``, ``short``, ``aliases``, ``category``) of a JSON dictionary with maps of terms, laws and authorities."""
     entry = "map<string, struct<short:string, aliases:array<string>, category:string>>"
@@ -67,6 +83,6 @@ def append_json(df: DataFrame, path: str) -> None:
 
 def corpus_file(texts: DataFrame) -> DataFrame:
     """(``value``): each text under a heading with its place in the order of titles, ready to be written as text."""
-    placed = text_positions(texts, "title", "file_path").orderBy("pos")
+    placed = positions(texts, "title", "file_path").orderBy("pos")
     heading = F.concat(F.lit("# 文件 "), F.col("pos").cast("string"), F.lit(": "), F.col("title"))
     return placed.select(F.concat(heading, F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("value"))

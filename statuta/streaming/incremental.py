@@ -17,32 +17,40 @@ def newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("__x")).select(key, "__x.*").select(*rows.columns)
 
 
-def upserts(stream: DataFrame, folder: str, checkpoint: str, key: str, order: list[str]) -> StreamingQuery:
-    """Keep the newest row of each key of a stream as a table: one version of the table for each batch.
+def upserts(stream: DataFrame, folder: str, checkpoint: str, key: str, order: list[str], buckets: int = 64) -> StreamingQuery:
+    """Keep the newest row of each key of a stream as a table in ``buckets`` by the keys' hash.
 
-    Batch ``n`` reads the newest version below ``n`` and writes version ``n`` in whole, so a batch that
-    is run again after a failure gives the same table. ``current`` reads the last finished version.
+    Batch ``n`` reads the buckets that its keys fall into, as of the batches before, and writes those
+    alone as version ``n``; the others stay as they are. A batch that is run again after a failure
+    gives the same table. ``current`` reads the last finished version of each bucket.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = current(batch.sparkSession, folder, below=number)
-        both = batch if old is None else old.unionByName(batch)
-        newest(both, key, order).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        placed = newest(batch, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        # no more values than there are buckets
+        touched = [r.bucket for r in placed.select("bucket").distinct().collect()]
+        old = current(batch.sparkSession, folder, below=number, only=touched)
+        rows = placed if old is None else placed.unionByName(old.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+        newest(rows, key, order).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/version={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark, folder: str, below: int | None = None) -> DataFrame | None:  # noqa: ANN001
-    """The last finished version (below a number) of a table written by ``upserts``, or none."""
+def current(spark, folder: str, below: int | None = None, only: list[int] | None = None) -> DataFrame | None:  # noqa: ANN001
+    """The last finished versions (below a number) of all buckets, or of those in ``only``, of a table written by ``upserts``; none if there are none."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [int(n.partition("=")[2]) for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
-    done = [n for n in done if below is None or n < below]
-    return spark.read.parquet(f"{folder}/version={max(done)}") if done else None
+    names = lambda p: [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(p))]
+    versions = sorted(int(n.partition("=")[2]) for n in names(folder) if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+    last: dict[int, str] = {}
+    for v in versions:
+        if below is None or v < below:
+            last |= {int(n.partition("=")[2]): f"{folder}/version={v}/{n}" for n in names(f"{folder}/version={v}") if n.startswith("bucket=")}
+    paths = [p for b, p in sorted(last.items()) if only is None or b in only]
+    return spark.read.parquet(*paths) if paths else None
 
 
 def hourly(stream: DataFrame, time: str = "ts", late: str = "2 hours") -> DataFrame:

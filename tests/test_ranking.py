@@ -3,9 +3,12 @@ import math
 import numpy as np
 import pytest
 
-from statuta.operators.curation import positions, split_in_order, text_positions
+from statuta.operators.curation import positions, split_in_order
 from statuta.operators.dictionary import contained
 from statuta.operators.ranking import bm25, cell_index, confidence, fused, nearest, nearest_by_cells
+from statuta.operators.dictionary import by_first_rule
+from statuta.operators.index import build, load, search, search_branches, wanted
+from statuta.operators.ranking import appended
 from statuta.session import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -74,7 +77,7 @@ def test_confidence_without_scores(spark):
 
 def test_positions_and_split(spark):
     df = spark.createDataFrame([(i * i,) for i in range(1, 41)], "k long")
-    assert [r.pos for r in positions(df, "k", 7).orderBy("k").collect()] == list(range(1, 41))
+    assert [r.pos for r in positions(df.repartition(7), "k").orderBy("k").collect()] == list(range(1, 41))
     assert split_in_order(df, "k").where("part = 'train'").count() == 36
     assert positions(df.limit(0), "k").collect() == []
 
@@ -82,4 +85,50 @@ def test_positions_and_split(spark):
 def test_text_positions(spark):
     words = ["b", "", "资本", "资产", "a", "abcd", "abc", "证", "😀"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    assert [r.w for r in text_positions(df, "w").orderBy("pos").collect()] == sorted(words, key=lambda w: w.encode())
+    assert [r.w for r in positions(df, "w").orderBy("pos").collect()] == sorted(words, key=lambda w: w.encode())
+
+
+def test_places_of_one_outlier(spark):
+    df = spark.createDataFrame([(i,) for i in range(500)] + [(10**15,)], "k long")
+    assert [r.pos for r in positions(df, "k").orderBy("k").collect()] == list(range(1, 502))
+
+
+def test_nearest_by_pairs_of_blocks(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], "ab"[i % 2], None if i % 3 else "a") for i in range(90)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>, tag string, wish string")
+    q = v.withColumnRenamed("id", "qid")
+    for extra in ({}, {"same": "tag"}, {"fits": [("tag", "wish")]}):
+        one, many = (sorted(tuple(r) for r in nearest(v, q, 4, **extra, **o).collect()) for o in ({}, {"most": 5, "block": 16}))
+        assert one == many and one
+
+
+def test_index_is_stored(spark, tmp_path):
+    rows = [(1, ["a", "b"], "x"), (2, ["a", "a", "c"], "y"), (3, [], "x"), (4, None, None)]
+    corpus = spark.createDataFrame(rows, "id long, tokens array<string>, kind string")
+    folder = str(tmp_path / "index")
+    assert load(spark, folder) is None
+    built = build(corpus, folder, "kind")
+    asked = spark.createDataFrame([(9, ["a", "c"], None), (8, ["a"], "x"), (7, ["a"], ""), (6, ["none"], "x")], "qid long, tokens array<string>, want_kind string")
+    found = lambda index: sorted((r.qid, r.id, r.rank) for r in search(index, asked, keep=wanted(kind="kind")).collect())
+    assert found(built) == found(load(spark, folder)) == [(7, 1, 2), (7, 2, 1), (8, 1, 1), (9, 1, 2), (9, 2, 1)]
+    from pyspark.sql import functions as F
+
+    both = search_branches(built, asked.drop("want_kind"), {"x": F.col("kind") == "x", "all": F.lit(True)})
+    assert sorted((r.branch, r.id) for r in both.where("qid = 9").collect()) == [("all", 1), ("all", 2), ("x", 1)]
+    empty = build(corpus.limit(0), str(tmp_path / "none"), "kind")
+    assert search(empty, asked.drop("want_kind")).collect() == []
+
+
+def test_what_the_graph_appends(spark):
+    hits = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.4, 2), (2, "a", 0.1, 1)], "qid long, id string, score double, rank int")
+    links = spark.createDataFrame([("a", "b"), ("a", "z"), ("b", "c"), ("b", "z")], "id string, other string")
+    got = sorted(tuple(r) for r in appended(hits, links).where("from_graph").collect())
+    assert got == [(1, "c", 0.0, 4, True), (1, "z", 0.0, 3, True), (2, "b", 0.0, 2, True), (2, "z", 0.0, 3, True)]
+
+
+def test_many_rules(spark):
+    rules = spark.createDataFrame([(f"k{i}", f"c{i}", i) for i in range(10_050)] + [("Ab", "first", -1)], "keyword string, category string, priority long")
+    names = spark.createDataFrame([("k77 of it",), ("Ab k5",), ("ab",), (None,)], "name string")
+    got = {r.name: r.category for r in by_first_rule(names, "name", rules).collect()}
+    assert got == {"k77 of it": "c7", "Ab k5": "first", "ab": "其他", None: "其他"}

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from statuta.session import table
-from statuta.sources.files import append_json, corpus_file, read_dictionary, read_questions, read_texts, write_table
+from statuta.sources.files import append_json, corpus_file, read_dictionary, read_question_array, read_question_lines, read_questions, read_texts, write_table
 from statuta.streaming.incremental import current, hourly, last_versions, newest, upserts
 
 FOLDER = "/root/testdata/sf0.001"
@@ -72,3 +72,10 @@ def test_tables(spark, tmp_path, by):
     append_json(df, str(tmp_path / "j"))
     append_json(df, str(tmp_path / "j"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2 and spark.read.json(str(tmp_path / "j")).count() == 4
+
+
+def test_lists_of_questions(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"question": "一？", "x": 1}, {"question": " "}, "二？", {"other": "z"}], ensure_ascii=False), encoding="utf-8")
+    assert sorted(r.question for r in read_question_array(spark, str(tmp_path / "a.json")).collect()) == ["一？", "二？"]
+    (tmp_path / "b.txt").write_text("1. 一？\n\n 2、二？ \n三？\n", encoding="utf-8")
+    assert sorted(r.question for r in read_question_lines(spark, str(tmp_path / "b.txt")).collect()) == ["一？", "三？", "二？"]

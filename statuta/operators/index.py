@@ -38,15 +38,14 @@ def build(corpus: DataFrame, folder: str, *fields: str) -> TextIndex:
     """Write the index of ``corpus`` (``id``, ``tokens``, ``fields``) to ``folder`` and read it back.
 
     Texts are taken apart once. Postings are counted by document and token, combined before the
-    shuffle, so that a token of every document loads no single task; files are sorted by token, so
-    that a search reads only the row groups of its tokens.
+    shuffle, so that a token of every document loads no single task.
     """
     spark = corpus.sparkSession
     corpus.select("id", *fields, "tokens").write.mode("overwrite").parquet(f"{folder}/corpus")
     rows = spark.read.parquet(f"{folder}/corpus")
     rows.select("id", F.size("tokens").alias("dl"), *fields).write.mode("overwrite").parquet(f"{folder}/documents")
     counted = each_token(rows, "id", F.size("tokens").alias("dl")).groupBy("token", "id", "dl").agg(F.count("*").alias("tf"))
-    counted.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{folder}/postings")
+    counted.write.mode("overwrite").parquet(f"{folder}/postings")
     postings = spark.read.parquet(f"{folder}/postings")
     postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{folder}/terms")
     return load(spark, folder)

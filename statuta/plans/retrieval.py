@@ -65,6 +65,10 @@ def token_df(s: SparkSession, d: str) -> DataFrame:
     return _document_index(s, d).terms
 
 
+def chunk_token_df(s: SparkSession, d: str) -> DataFrame:
+    return _chunk_index(s, d).terms
+
+
 def stats(s: SparkSession, d: str) -> DataFrame:
     sizes = _document_index(s, d).documents
     return sizes.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_len"), F.round(F.avg("dl"), 6).alias("avg_len"))
@@ -207,7 +211,8 @@ def retrieve_chunks(s: SparkSession, d: str) -> DataFrame:
     fields = index.documents.drop("dl")
     words = search(index, asked.drop("query"), keep=fits)
     asked_tokens = each_token(asked, F.col("qid").alias("id")).groupBy("id", "token").agg(F.count("*").alias("tf"))
-    vectors, wish = hashed_vectors(index.postings).join(fields, "id"), hashed_vectors(asked_tokens).withColumnRenamed("id", "qid").join(wants, "qid")
+    stored_vectors = kept(s, d, "chunk-vectors", ("chunks",), lambda: hashed_vectors(index.postings))
+    vectors, wish = stored_vectors.join(fields, "id"), hashed_vectors(asked_tokens).withColumnRenamed("id", "qid").join(wants, "qid")
     near = nearest(vectors, wish, fits=[("law_name", "want_law"), ("authority", "want_authority"), ("doc_type", "want_kind"), ("status", "want_status"), ("source", "want_source")])
     names = contained(asked.select(F.col("qid").alias("id"), F.col("query").alias("text")), _aliases(s, d))
     keep = fields.join(F.broadcast(wants), fits).select("qid", "id")  # the questions, a stated set of a few hundred rows
@@ -461,7 +466,7 @@ _RETRIEVE_CHUNKS = f"""with {_CHUNKS}, {_ALIASES}, {_CHUNK_POSTINGS}, docs as (s
   select qid, id, score, rank, false from_graph from hits union all select qid, id, 0::double, l + n, true from more join (select qid, max(rank) l from hits group by qid) using (qid)"""
 
 QUERIES = {
-    "token_df": token_df, "corpus_stats": stats, "bm25_batch": bm25_batch, "bm25_filtered": bm25_filtered, "bm25_chunks": bm25_chunks, "bm25_historical": bm25_historical, "retrieve_or_chunks": retrieve_or_chunks, "retrieve_chunks": retrieve_chunks, "term_rank_filtered": term_rank_filtered, "retrieve_or_filters": retrieve_or_filters,
+    "token_df": token_df, "chunk_token_df": chunk_token_df, "corpus_stats": stats, "bm25_batch": bm25_batch, "bm25_filtered": bm25_filtered, "bm25_chunks": bm25_chunks, "bm25_historical": bm25_historical, "retrieve_or_chunks": retrieve_or_chunks, "retrieve_chunks": retrieve_chunks, "term_rank_filtered": term_rank_filtered, "retrieve_or_filters": retrieve_or_filters,
     "knn_batch": knn_batch, "knn_filtered": knn_filtered, "knn_selfjoin_top3": knn_selfjoin, "knn_norm_score": knn_norm_score, "knn_cells": knn_cells,
     "term_postings": term_postings, "term_df": term_df, "term_rank": term_rank_chunks, "retrieve_fused": retrieve_fused, "rrf_two_way": rrf_two_way, "rerank_overlap": rerank, "confidence": answer_confidence,
     "alias_map": alias_map, "alias_resolve": alias_resolve, "entity_detect": entity_detect, "query_expand": query_expand, "term_search": term_search, "dict_stats": dict_stats,
@@ -471,6 +476,7 @@ QUERIES = {
 
 SQL = {
     "token_df": f"with {_DOCS} select token, count(distinct id) df, count(*) cf from (select id, unnest(tokens) token from docs) group by token",
+    "chunk_token_df": f"with {_CHUNKS}, docs as (select chunk_id id, {TOK.format('text')} tokens from cur) select token, count(distinct id) df, count(*) cf from (select id, unnest(tokens) token from docs) group by token",
     "corpus_stats": f"with {_DOCS} select count(*) n_docs, sum(len(tokens))::bigint total_len, round(avg(len(tokens)), 6) avg_len from docs",
     "bm25_batch": f"with {_DOCS}, {_ASKED}, {_bm25('bm', 'docs', 'asked')} select * from bm",
     "bm25_filtered": f"""with {_DOCS}, {_ASKED}, {_bm25("bm", "docs", "asked", "c.doc_type = 'law' and c.lang = 'zh'")} select * from bm""",

@@ -88,17 +88,17 @@ def _alive_at(refs: DataFrame, spans: DataFrame) -> DataFrame:
     """Column ``__alive`` for each of ``refs`` (``__key``, ``__t``): how many of ``spans`` hold its time.
 
     ``spans`` (``__key``, ``__from``, ``__to``) count +1 at their start and -1 at their end. The
-    counts are summed by key and month first, so that a key with very many spans is swept in one
-    task only month by month, with one row a month carried over.
+    counts are summed by key and hour first, so that a key with very many spans or references is
+    swept hour by hour in different tasks, with one row an hour carried over.
     """
     ends = spans.select("__key", F.explode(F.array(F.struct(F.col("__from").alias("__t"), F.lit(1).alias("__d")), F.struct(F.col("__to").alias("__t"), F.lit(-1).alias("__d")))).alias("__e"))
     events = ends.groupBy("__key", F.col("__e.__t").alias("__t")).agg(F.sum("__e.__d").alias("__d"))
-    events = events.withColumn("__m", F.date_format("__t", PERIOD))
+    events = events.withColumn("__m", F.date_trunc("hour", "__t"))
     sums = events.groupBy("__key", "__m").agg(F.sum("__d").alias("__d"))
-    moments = refs.withColumn("__m", F.date_format("__t", PERIOD))
-    all_months = sums.unionByName(moments.select("__key", "__m", F.lit(0).cast("long").alias("__d")).distinct()).groupBy("__key", "__m").agg(F.sum("__d").alias("__d"))
-    before = all_months.withColumn("__d", F.coalesce(F.sum("__d").over(W.partitionBy("__key").orderBy("__m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    # the carried count takes part as an event before the month's first moment
+    moments = refs.withColumn("__m", F.date_trunc("hour", "__t"))
+    all_hours = sums.unionByName(moments.select("__key", "__m", F.lit(0).cast("long").alias("__d")).distinct()).groupBy("__key", "__m").agg(F.sum("__d").alias("__d"))
+    before = all_hours.withColumn("__d", F.coalesce(F.sum("__d").over(W.partitionBy("__key").orderBy("__m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # the carried count takes part as an event before the hour's first moment
     lines = moments.withColumn("__d", F.lit(0).cast("long")).withColumn("__kind", F.lit(2))
     lines = lines.unionByName(events.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
     lines = lines.unionByName(before.withColumn("__kind", F.lit(0)), allowMissingColumns=True)

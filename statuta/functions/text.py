@@ -54,9 +54,10 @@ def title_law(c: Column) -> Column:
     return F.regexp_replace(c, r"_\d{8}$", "")
 
 
-def cosine_parts(a: Column, b: Column) -> Column:
-    """Dot product of two vectors, in doubles."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def single_tokens(c: Column) -> Column:
+    """As ``tokens``, with every single ideograph instead of pairs: the plain analyzer."""
+    low = F.lower(c)
+    return F.coalesce(F.regexp_extract_all(low, F.lit(f"[a-z0-9]+|[{IDEOGRAPH}]"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def mapped_score(cosine: Column) -> Column:
@@ -65,8 +66,6 @@ def mapped_score(cosine: Column) -> Column:
     return F.round(F.when(s >= 0, s).otherwise((s + 1) / 2), 4)
 
 
-
-
 def title_authority(title: Column, path: Column) -> Column:
     """The body that issued a document: what stands before 关于 in the title (four characters or more), else the path's part that ends in 监管局 or 监管分局, else empty."""
     before = F.regexp_replace(F.trim(F.regexp_extract(title, r"^(.*?)关于", 1)), r"(办公室|秘书处)$", "")

@@ -345,6 +345,39 @@ def q_prompt_context(s: SparkSession, d: str) -> DataFrame:
     return prompt_blocks(rows).select("qid", F.md5("context").alias("context"))
 
 
+def q_hit_projection(s: SparkSession, d: str) -> DataFrame:
+    """Each search hit with what is shown of its chunk: defaults for what is missing, the text's beginning, a rounded score."""
+    hits = table(s, d, "search_hits").select("hit_id", "query_id", "hit_rank", "score", "chunk_id")
+    shown = lambda c, other: F.coalesce(F.col(c), F.lit(other)).alias(c)
+    fields = [shown(c, "") for c in ("law_name", "authority", "article_num", "status")]
+    return hits.join(_chunks(s, d), "chunk_id").select("hit_id", "query_id", "hit_rank", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"), "chunk_id", shown("source", "未知文件"), shown("doc_type", "law"), *fields, F.md5(F.substring(F.coalesce("text", F.lit("")), 1, 300)).alias("text"))
+
+
+def q_prompt_with_facts(s: SparkSession, d: str) -> DataFrame:
+    """The numbered blocks of each query's best hits, with kind, source and article, and behind them up to eight facts on their laws."""
+    # fixed values: what the kinds of documents are called
+    kind = F.when(F.col("doc_type") == "case", "案例").when(F.col("doc_type") == "other", "其它资料").otherwise("法规")
+    article = F.when(F.coalesce("article_num", F.lit("")) != "", F.concat(F.lit("  "), "article_num")).otherwise("")
+    hits = table(s, d, "search_hits").select("query_id", "hit_rank", "hit_id", "chunk_id").join(_chunks(s, d), "chunk_id")
+    rows = hits.select(F.col("query_id").alias("qid"), F.col("hit_rank").alias("rank"), F.col("hit_id").alias("id"), F.concat(kind, F.lit(" "), F.coalesce("source", F.lit("未知文件")), article).alias("source"), "text", clean_name(F.col("law_name")).alias("law"))
+    best = first_each(rows, "qid", 5, "rank", "id")
+    facts = first_each(_edge(s, d, "RELATES_TO").select(F.col("src").alias("law"), F.format_string("- 法规关系: %s --%s--> %s", "src", "relation_type", "dst").alias("fact")), "law", 8, "fact")
+    told = first_each(best.select("qid", "law").distinct().join(facts, "law").select("qid", "fact").distinct(), "qid", 8, "fact")
+    bullets = told.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("fact")), "\n").alias("facts"))
+    both = prompt_blocks(best.drop("law")).join(bullets, "qid", "left")
+    return both.select("qid", F.md5(F.concat("context", F.coalesce(F.concat(F.lit("\n\n【图谱补充关系】\n"), "facts"), F.lit("")))).alias("prompt"), F.col("facts").isNotNull().alias("has_facts"))
+
+
+def q_name_shapes(s: SparkSession, d: str) -> DataFrame:
+    """How candidates' names begin and end: with the region or suffix of a reference name of the kind, or neither."""
+    own = table(s, d, "canonical_names").select("kind", F.substring("full_name", 1, 2).alias("head"), F.substring("full_name", -2, 2).alias("tail"))
+    # as many as there are kinds, of words of two characters
+    words = own.groupBy("kind").agg(F.collect_set("head").alias("heads"), F.collect_set("tail").alias("tails"))
+    c = table(s, d, "dictionary_candidates").select("kind", "name").join(F.broadcast(words), "kind")
+    starts, ends = (F.coalesce(F.exists(w, test), F.lit(False)) for w, test in (("heads", lambda x: F.startswith("name", x)), ("tails", lambda x: F.endswith("name", x))))
+    return c.select("kind", starts.alias("starts"), ends.alias("ends")).groupBy("kind", "starts", "ends").agg(F.count("*").alias("n"))
+
+
 def q_line_parse(s: SparkSession, d: str) -> DataFrame:
     lines = table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x")).select("doc_id", F.regexp_replace(without_number(F.col("x")), r"^\s+|\s+$", "").alias("x"))
     return lines.where("length(x) >= 8").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("x")).alias("chars"))
@@ -473,6 +506,16 @@ SQL = {
     "question_batches": "select (pos - 1) // 20 batch, count(*) n, min(item_id) first_id from (select item_id, row_number() over (order by item_id) pos from eval_items) group by 1",
     "prompt_context": f"""with {_CHUNKS}, k as (select query_id qid, law_name, substr(text, 1, 300) t, row_number() over (partition by query_id order by hit_rank, hit_id) r from search_hits join cur using (chunk_id) qualify r <= 5)
       select qid, md5(string_agg(r || '. 【' || coalesce(law_name, '') || '】' || chr(10) || coalesce(t, ''), chr(10) || chr(10) order by r)) context from k group by qid""",
+    "hit_projection": f"""with {_CHUNKS} select hit_id, query_id, hit_rank, round(coalesce(score, 0), 4) score, chunk_id, coalesce(source, '未知文件') source, coalesce(doc_type, 'law') doc_type, coalesce(law_name, '') law_name, coalesce(authority, '') authority, coalesce(article_num, '') article_num, coalesce(status, '') status, md5(substr(coalesce(text, ''), 1, 300)) as text from search_hits join cur using (chunk_id)""",
+    "prompt_with_facts": f"""{_G}, k as (select query_id qid, row_number() over (partition by query_id order by hit_rank, hit_id) r, {_NAME} law, text t,
+        case doc_type when 'case' then '案例' when 'other' then '其它资料' else '法规' end || ' ' || coalesce(source, '未知文件') || case when coalesce(article_num, '') <> '' then '  ' || article_num else '' end s
+        from search_hits join cur using (chunk_id) qualify r <= 5),
+      f as (select src law, '- 法规关系: ' || src || ' --' || relation_type || '--> ' || dst fact from rel qualify row_number() over (partition by law order by fact) <= 8),
+      g as (select qid, fact from (select distinct qid, fact from k join f using (law)) qualify row_number() over (partition by qid order by fact) <= 8),
+      b as (select qid, string_agg(fact, chr(10) order by fact) facts from g group by 1)
+      select qid, md5(string_agg(r || '. 【' || s || '】' || chr(10) || coalesce(t, ''), chr(10) || chr(10) order by r) || coalesce(chr(10) || chr(10) || '【图谱补充关系】' || chr(10) || any_value(facts), '')) prompt, any_value(facts) is not null has_facts from k left join b using (qid) group by qid""",
+    "name_shapes": """with w as (select kind, list(distinct substr(full_name, 1, 2)) heads, list(distinct substr(full_name, length(full_name) - 1, 2)) tails from canonical_names group by 1)
+      select kind, coalesce(len(list_filter(heads, lambda x: starts_with(name, x))) > 0, false) starts, coalesce(len(list_filter(tails, lambda x: ends_with(name, x))) > 0, false) ends, count(*) n from dictionary_candidates join w using (kind) group by all""",
     "line_parse": r"""with l as (select doc_id, regexp_replace(regexp_replace(x, '^\s*\d{1,4}\s*[.、）)]\s*', ''), '^\s+|\s+$', '', 'g') x from (select doc_id, unnest(string_split(text, chr(10))) x from documents))
       select doc_id, count(*) n, sum(length(x))::bigint chars from l where length(x) >= 8 group by 1""",
     "hash_sample": "select row_id from chunks where ('0x' || substr(md5(row_id::varchar), 1, 8))::bigint < 1431655765",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.functions.notation import BLANK, clean_name, strip
-from statuta.functions.text import mapped_score, title_date, title_law, tokens
+from statuta.functions.text import mapped_score, single_tokens, title_date, title_law, tokens
 from statuta.operators.dictionary import alias_relation, by_first_rule, contained, expanded, resolved, typed_values
 from statuta.operators.mining import unknown
 from statuta.operators.index import TextIndex, build, load, search, search_branches, wanted
@@ -65,6 +65,13 @@ def token_df(s: SparkSession, d: str) -> DataFrame:
     return _document_index(s, d).terms
 
 
+def single_token_df(s: SparkSession, d: str) -> DataFrame:
+    """Statistics of single ideographs and runs of letters and digits: the index of another analyzer."""
+    path = stored(s, d, "documents-index-single", ("documents",))
+    rows = spread(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select("id", single_tokens(F.col("text")).alias("tokens"))
+    return (load(s, path) or build(rows, path)).terms
+
+
 def chunk_token_df(s: SparkSession, d: str) -> DataFrame:
     return _chunk_index(s, d).terms
 
@@ -466,7 +473,7 @@ _RETRIEVE_CHUNKS = f"""with {_CHUNKS}, {_ALIASES}, {_CHUNK_POSTINGS}, docs as (s
   select qid, id, score, rank, false from_graph from hits union all select qid, id, 0::double, l + n, true from more join (select qid, max(rank) l from hits group by qid) using (qid)"""
 
 QUERIES = {
-    "token_df": token_df, "chunk_token_df": chunk_token_df, "corpus_stats": stats, "bm25_batch": bm25_batch, "bm25_filtered": bm25_filtered, "bm25_chunks": bm25_chunks, "bm25_historical": bm25_historical, "retrieve_or_chunks": retrieve_or_chunks, "retrieve_chunks": retrieve_chunks, "term_rank_filtered": term_rank_filtered, "retrieve_or_filters": retrieve_or_filters,
+    "token_df": token_df, "chunk_token_df": chunk_token_df, "single_token_df": single_token_df, "corpus_stats": stats, "bm25_batch": bm25_batch, "bm25_filtered": bm25_filtered, "bm25_chunks": bm25_chunks, "bm25_historical": bm25_historical, "retrieve_or_chunks": retrieve_or_chunks, "retrieve_chunks": retrieve_chunks, "term_rank_filtered": term_rank_filtered, "retrieve_or_filters": retrieve_or_filters,
     "knn_batch": knn_batch, "knn_filtered": knn_filtered, "knn_selfjoin_top3": knn_selfjoin, "knn_norm_score": knn_norm_score, "knn_cells": knn_cells,
     "term_postings": term_postings, "term_df": term_df, "term_rank": term_rank_chunks, "retrieve_fused": retrieve_fused, "rrf_two_way": rrf_two_way, "rerank_overlap": rerank, "confidence": answer_confidence,
     "alias_map": alias_map, "alias_resolve": alias_resolve, "entity_detect": entity_detect, "query_expand": query_expand, "term_search": term_search, "dict_stats": dict_stats,
@@ -476,6 +483,7 @@ QUERIES = {
 
 SQL = {
     "token_df": f"with {_DOCS} select token, count(distinct id) df, count(*) cf from (select id, unnest(tokens) token from docs) group by token",
+    "single_token_df": "select token, count(distinct id) df, count(*) cf from (select doc_id id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]')) token from documents) group by token",
     "chunk_token_df": f"with {_CHUNKS}, docs as (select chunk_id id, {TOK.format('text')} tokens from cur) select token, count(distinct id) df, count(*) cf from (select id, unnest(tokens) token from docs) group by token",
     "corpus_stats": f"with {_DOCS} select count(*) n_docs, sum(len(tokens))::bigint total_len, round(avg(len(tokens)), 6) avg_len from docs",
     "bm25_batch": f"with {_DOCS}, {_ASKED}, {_bm25('bm', 'docs', 'asked')} select * from bm",

@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from statuta.operators.buckets import current, merge_buckets, newest
 
-def newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The greatest row of each key by ``order``."""
-    cols = [c for c in rows.columns if c != key]
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("__x")).select(key, "__x.*").select(*rows.columns)
+__all__ = ["current", "hourly", "last_versions", "newest", "upserts"]
 
 
 def upserts(stream: DataFrame, folder: str, checkpoint: str, key: str, order: list[str], buckets: int = 64) -> StreamingQuery:
@@ -26,33 +24,11 @@ def upserts(stream: DataFrame, folder: str, checkpoint: str, key: str, order: li
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        placed = newest(batch, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        # no more values than there are buckets
-        touched = [r.bucket for r in placed.select("bucket").distinct().collect()]
-        old = current(batch.sparkSession, folder, below=number, only=touched)
-        rows = placed if old is None else placed.unionByName(old.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
-        newest(rows, key, order).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/version={number}")
+        merge_buckets(batch, folder, number, key, order, buckets)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark, folder: str, below: int | None = None, only: list[int] | None = None) -> DataFrame | None:  # noqa: ANN001
-    """The last finished versions (below a number) of all buckets, or of those in ``only``, of a table written by ``upserts``; none if there are none."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = lambda p: [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(p))]
-    versions = sorted(int(n.partition("=")[2]) for n in names(folder) if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
-    last: dict[int, str] = {}
-    for v in versions:
-        if below is None or v < below:
-            last |= {int(n.partition("=")[2]): f"{folder}/version={v}/{n}" for n in names(f"{folder}/version={v}") if n.startswith("bucket=")}
-    paths = [p for b, p in sorted(last.items()) if only is None or b in only]
-    return spark.read.parquet(*paths) if paths else None
-
-
 def hourly(stream: DataFrame, time: str = "ts", late: str = "2 hours") -> DataFrame:
     """Counts and sums by hour and event type; rows later than ``late`` behind the newest are left out."""
     rows = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -188,17 +188,17 @@ def nearest_by_cells(index: DataFrame, centres: np.ndarray, queries: DataFrame,
     return top(split.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(of_cell, kinds), k).select("qid", "id", "score", "rank")
 
 
-def term_rank(postings: DataFrame, n_docs: DataFrame, queries: DataFrame, k: int = 10, keep: DataFrame | None = None) -> DataFrame:
+def term_rank(postings: DataFrame, n_docs: DataFrame, queries: DataFrame, k: int = 10, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(``qid``, ``id``, ``match_count``, ``score``, ``rank``): documents by the number of the query's terms, then by their rarity.
 
-    ``postings``: ``term``, ``id``; ``queries``: ``qid``, ``term``; ``n_docs``: one row ``n``; ``keep``:
-    ``id``, and ``qid`` if it differs by query, of the documents that may come out.
+    ``postings``: ``term``, ``id``; ``queries``: ``qid``, ``term``; ``n_docs``: one row ``n``. ``keep``
+    takes the scored rows and gives back those that may come out; the statistics are those of all documents.
     """
     df = postings.groupBy("term").agg(F.count_distinct("id").alias("df"))
     terms = queries.distinct().join(df, "term").join(F.broadcast(n_docs))  # one row
     both = postings.distinct().join(terms, "term").groupBy("qid", "id").agg(F.count("*").alias("match_count"), F.sum(F.ln(1 + F.col("n") / F.col("df"))).alias("idf"))
     if keep is not None:
-        both = both.join(keep, [c for c in ("qid", "id") if c in keep.columns], "left_semi")
+        both = keep(both)
     return top(both.select("qid", "id", "match_count", F.round(F.col("match_count") + 0.001 * F.col("idf"), 6).alias("score")), k)
 
 

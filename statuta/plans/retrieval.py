@@ -183,8 +183,8 @@ def term_rank_chunks(s: SparkSession, d: str) -> DataFrame:
 
 def term_rank_filtered(s: SparkSession, d: str) -> DataFrame:
     """As ``term_rank_chunks``; of chunks in force of the kind law, filtered after scoring."""
-    keep = _heads(s, d).where(equalities(status="有效", doc_type="law", law_name="", authority="", source="")).select(F.col("chunk_id").alias("id"))
-    return term_rank(_named(_chunk_terms(s, d)), _heads(s, d).agg(F.count("*").alias("n")), _candidate_names(s, d), keep=keep)
+    allowed = _heads(s, d).where(equalities(status="有效", doc_type="law", law_name="", authority="", source="")).select(F.col("chunk_id").alias("id"))
+    return term_rank(_named(_chunk_terms(s, d)), _heads(s, d).agg(F.count("*").alias("n")), _candidate_names(s, d), keep=lambda found: found.join(allowed, "id", "left_semi"))
 
 
 def _similar(s: SparkSession, d: str) -> DataFrame:
@@ -222,8 +222,7 @@ def retrieve_chunks(s: SparkSession, d: str) -> DataFrame:
     vectors, wish = stored_vectors.join(fields, "id"), hashed_vectors(asked_tokens).withColumnRenamed("id", "qid").join(wants, "qid")
     near = nearest(vectors, wish, fits=[("law_name", "want_law"), ("authority", "want_authority"), ("doc_type", "want_kind"), ("status", "want_status"), ("source", "want_source")])
     names = contained(asked.select(F.col("qid").alias("id"), F.col("query").alias("text")), _aliases(s, d))
-    keep = fields.join(F.broadcast(wants), fits).select("qid", "id")  # the questions, a stated set of a few hundred rows
-    terms = term_rank(_named(_chunk_terms(s, d)), _heads(s, d).agg(F.count("*").alias("n")), _named(names, "qid"), keep=keep)
+    terms = term_rank(_named(_chunk_terms(s, d)), _heads(s, d).agg(F.count("*").alias("n")), _named(names, "qid"), keep=lambda found: found.join(fields, "id").join(wants, "qid").where(fits))
     named = lambda df, i: df.select("qid", F.lit(i).alias("list"), "id", "rank")
     lists = cut(named(near, 1).unionByName(named(words, 2)).unionByName(named(terms, 3)))
     # a few hits a question, read several times
